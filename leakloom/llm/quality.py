@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from leakloom.llm import common
 
 BINS = 1 << 16
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 #: A document goes if the chance that it is good is below this.
 LEAST_GOOD = 0.3
 MIN_WORDS = 50
@@ -139,12 +139,12 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     use = ~held
     # both classes weigh the same in the fit; the calibration brings the shares back
     weight = np.where(y == 1, 0.5 / max(1, (y[use] == 1).sum()), 0.5 / max(1, (y[use] == 0).sum())) * use
-    for step in range(1, 151):
+    for step in range(1, 61):
         z = np.bincount(rows, vals * w[cols], n) + w[-1]
         g = (sigmoid(z) - y) * weight
         grad = np.append(np.bincount(cols, vals * g[rows], BINS), g.sum()) + 1e-7 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
-        w -= 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
+        w -= 0.2 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
     z = np.bincount(rows, vals * w[cols], n) + w[-1]
     a, b = platt(z[held], y[held]) if held.any() else platt(z, y)
     yield pa.RecordBatch.from_pydict({"weights": [w.astype(np.float32).tobytes()], "a": [float(a)], "b": [float(b)]})
