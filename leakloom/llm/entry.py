@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leakloom.llm import quality
+from leakloom.llm import bpe, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_byte_bpe": bpe.op2,
 }
 
 ORACLES: dict[str, str] = {}
