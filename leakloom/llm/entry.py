@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, quality
+from leakloom.llm import bpe, line_dedup, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_byte_bpe": bpe.op2,
+    "op7_line_dedup": line_dedup.op7,
 }
 
 ORACLES: dict[str, str] = {}
