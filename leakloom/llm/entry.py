@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, line_dedup, quality
+from leakloom.llm import bpe, line_dedup, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_byte_bpe": bpe.op2,
+    "op6_simhash_near_dedup": simhash.op6,
     "op7_line_dedup": line_dedup.op7,
 }
 
