@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, decontaminate, line_dedup, quality, simhash
+from leakloom.llm import bpe, chat, decontaminate, line_dedup, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
+    "op10_chat_formatting": chat.op10,
 }
 
 ORACLES: dict[str, str] = {}
