@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, chat, decontaminate, line_dedup, quality, simhash
+from leakloom.llm import bpe, chat, decontaminate, line_dedup, quality, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_byte_bpe": bpe.op2,
+    "op3_toxicity": toxicity.op3,
     "op6_simhash_near_dedup": simhash.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
