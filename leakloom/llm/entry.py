@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, chat, decontaminate, line_dedup, pii, quality, simhash, toxicity
+from leakloom.llm import bpe, chat, decontaminate, line_dedup, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_byte_bpe": bpe.op2,
     "op3_toxicity": toxicity.op3,
+    "op4_token_counts": token_counts.op4,
     "op5_pii": pii.op5,
     "op6_simhash_near_dedup": simhash.op6,
     "op7_line_dedup": line_dedup.op7,
