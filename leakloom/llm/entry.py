@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leakloom.llm import bpe, chat, decontaminate, line_dedup, pii, quality, simhash, token_counts, toxicity
+from leakloom.llm import bpe, chat, decontaminate, licenses, line_dedup, pii, quality, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash_near_dedup": simhash.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_benchmark_decontamination": decontaminate.op8,
+    "op9_license_scans": licenses.op9,
     "op10_chat_formatting": chat.op10,
 }
 
