@@ -10,7 +10,7 @@ runs LEVELS steps at most and is called again for the rest, so that what it hold
 Encoded words, and those of them whose ids decode to other bytes, are kept in the Python worker (at most KEPT of them) and so each task encodes only words that are new to it.
 
 Defined results: a null text is empty; an empty text has no tokens, and decodes to an empty text. Any text goes, no
-string is special, and repeated rows give repeated results. Columns of the input pass through `encoded` and `decoded`.
+string is special, and repeated rows give repeated results. Columns of the input pass through `encoded` and `decoded`, one that is named like a result as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from leakloom.llm import common
 
@@ -182,13 +182,14 @@ def given(spark: SparkSession, path: str) -> bytes:
 def added(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     schema = StructType(list(df.schema.fields))
     for name, kind in fields:
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
     return schema
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """docs with ids (array of int), or with n_tokens, ids_sha256 and decoded_sha256 in its stead."""
     file = given(docs.sparkSession, path)
+    docs = common.apart(docs, ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids",))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file.value, pattern)
@@ -215,6 +216,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) ->
 def decoded(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
     """df with decoded (binary): the bytes of its lists of ids; null for null."""
     file = given(df.sparkSession, path)
+    df = common.apart(df, ("decoded",))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file.value, pattern)

@@ -51,6 +51,56 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(df: DataFrame, results: tuple[str, ...], inner: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """df with columns renamed that are called like results or like what an operator uses within, and the names under which
+    they come out: an input column called like a result as `<name>_in`, any other as before."""
+    taken, kept, out, names = {x.lower() for x in df.columns}, {x.lower() for x in (*results, *inner)}, [], []
+    for name in df.columns:
+        new = name
+        if name.lower() in kept:
+            while new.lower() in taken | kept:
+                new += "_in"
+            taken.add(new.lower())
+        out.append(new)
+        names.append(new if name.lower() in {x.lower() for x in results} else name)
+    return df.toDF(*out), names
+
+
+#: Elements of an array that SQL functions fold at once: a fold that grows an array is quadratic in these alone.
+FOLD = 128
+
+
+def bound(value: str, name: str, use: str) -> str:
+    """SQL: `use`, in which `name` is the value, computed once however often it is used."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def parts_of(array: str) -> str:
+    """SQL: the array cut into pieces of FOLD elements."""
+    return f"transform(CASE WHEN size({array}) > 0 THEN sequence(0, int((size({array}) - 1) / {FOLD})) ELSE CAST(array() AS ARRAY<INT>) END, part_no -> slice({array}, part_no * {FOLD} + 1, {FOLD}))"
+
+
+def sums_before(numbers: str) -> str:
+    """SQL: for each number of an array of ints the sum of those before it; nearly linear in the array's size."""
+
+    def fold(part: str, start: str) -> str:
+        return f"aggregate({part}, struct({start} AS at, CAST(array() AS ARRAY<INT>) AS out), (done, x) -> struct(done.at + x AS at, concat(done.out, array(done.at)) AS out), done -> done.out)"
+
+    starts = fold("transform(parts, part -> aggregate(part, 0, (n, x) -> n + x))", "0")
+    whole = f"flatten(zip_with(parts, {starts}, (part, start) -> {fold('part', 'start')}))"
+    return bound(numbers, "numbers", bound(parts_of("numbers"), "parts", whole))
+
+
+def span_index(spans: str) -> str:
+    """SQL: of an array of structs with start and end, sorted by start: for `meets`."""
+    return bound(spans, "spans", f"transform({parts_of('spans')}, part -> struct(part[0].start AS start, array_max(transform(part, s -> s.end)) AS end, part AS spans))")
+
+
+def meets(index: str, start: str, end: str) -> str:
+    """SQL: whether a span of the index has a place in [start, end)."""
+    return f"exists({index}, b -> b.start < {end} AND {start} < b.end AND exists(b.spans, s -> s.start < {end} AND {start} < s.end))"
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most so many bytes of a text column, or of one row. Whole rows, in order."""
     n = batch.num_rows

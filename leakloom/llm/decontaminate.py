@@ -116,7 +116,7 @@ class Windows:
         at[~there] = 0
         begin = np.where(there, first[at], 0)
         length = np.where(there, first[at + 1] - first[at], 0) if len(terms) else np.zeros(len(self.terms), np.int64)
-        lengths = np.where(self.used, length[self.slot], np.iinfo(np.int64).max)
+        lengths = np.where(self.used, length.astype(np.int64)[self.slot], np.int64(np.iinfo(np.int64).max))
         return begin[self.slot], lengths, np.flatnonzero(lengths.min(axis=1) > 0)
 
 

@@ -12,7 +12,7 @@
 A text is read once. A directory that holds most files meets its one row in a plain equi-join, which Spark can split.
 
 Defined results: null and empty texts have no units; a null path has no directory and inherits nothing; rows with equal paths are judged
-each by itself; ties go to the first name. Other columns of the input stay, and none may be named like a result.
+each by itself; ties go to the first name. Other columns of the input stay, one that is named like a result as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -100,6 +100,8 @@ def folder(path: Column) -> Column:
 
 def scanned(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files (path, text, more) without text, with license, score, found (header, file, inherited or null), origin (path of the licence file)."""
+    files, names = common.apart(files, ("license", "score", "found", "origin"), ("_row", "_units", "own", "grant", "_folder", "_above", "low", "place"))
+    names = [x for x, c in zip(names, files.columns, strict=True) if c != "text"]
     rows = common.written(units(files))
     found = common.checkpointed(matched(rows, least))
     own = found.groupBy("_row").agg(F.min(F.struct((-F.col("score")).alias("low"), "place", "license")).alias("own"))
@@ -119,7 +121,7 @@ def scanned(files: DataFrame, least: float = LEAST) -> DataFrame:
         (-F.coalesce("own.low", "grant.low")).alias("score"),
         F.when(F.col("own").isNotNull(), F.when(is_file, "file").otherwise("header")).when(F.col("grant").isNotNull(), "inherited").alias("found"),
         F.col("grant.path").alias("origin"),
-    )
+    ).toDF(*names, "license", "score", "found", "origin")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

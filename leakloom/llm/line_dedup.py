@@ -16,7 +16,7 @@ before the shuffle; joins on it are split by Spark (they are plain equi-joins).
 Defined results: null and empty texts stay as they are. A null doc_id keeps its text. Rows with equal doc_id and text are
 one document, and all are cut alike; rows with equal doc_id and other texts are different documents, the lower hash first.
 A \\r is part of its line. A passage that repeats only inside one document stays. A text may become empty; its row stays.
-All columns of the input stay, whatever their names; the results' names must be free.
+All columns of the input stay, whatever their names; one that is named like a result comes out as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from leakloom.llm import common
 MIN_WORDS = 50
 MODULUS = 2
 KEY = ("_id", "_hash")
+RESULTS = ("n_lines", "n_removed", "removed")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,6 +72,7 @@ def passages(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_WORDS
 
 def deduplicated(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text cut, and n_lines, n_removed (long), removed (string: top:bottom of line numbers from 0, comma-joined)."""
+    docs, names = common.apart(docs, RESULTS, (*KEY, "_text", "_gone"))
     found = common.written(passages(docs, modulus, min_words))
     of_text = found.groupBy(*KEY).agg(F.collect_list(F.struct("chunk", "top", "bottom")).alias("parts"))
     texts = keyed(docs).join(of_text, list(KEY))
@@ -80,7 +82,8 @@ def deduplicated(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_W
     gone = found.where("not stays").join(differ, "chunk", "left_anti").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("top", "bottom"))).alias("_gone"))
     own = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text"), "_text": F.col("text")}).drop("text")
     lines = F.split("_text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.exists("_gone", lambda g: (g["top"] <= i) & (i <= g["bottom"]))), "\n")
+    spans = common.span_index("transform(_gone, g -> struct(g.top AS start, g.bottom + 1 AS end))")
+    left = F.expr(common.bound(spans, "gone", f"array_join(filter(split(_text, '\n'), (line, i) -> NOT {common.meets('gone', 'i', 'i + 1')}), '\n')"))
     cut = own.join(gone, list(KEY), "left").withColumns(
         {
             "text": F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(left),
@@ -89,7 +92,7 @@ def deduplicated(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_W
             "removed": F.coalesce(F.array_join(F.transform("_gone", lambda g: F.concat_ws(":", g["top"].cast("string"), g["bottom"].cast("string"))), ","), F.lit("")),
         }
     )
-    return cut.select(*docs.columns, "n_lines", "n_removed", "removed")
+    return cut.select(*docs.columns, *RESULTS).toDF(*names, *RESULTS)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

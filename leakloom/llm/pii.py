@@ -2,7 +2,8 @@
 
 1. Seeds: e-mail addresses, IPv4 addresses, card and phone numbers, found by regular expressions and checks (`base`). Possessive
    quantifiers and a look-behind keep the search linear; they don't change what matches.
-2. A lexical pattern is a kind and the two words before an identifier. Seeds induce the patterns. Candidates are words with
+2. A lexical pattern is a kind and the two words before an identifier (within CONTEXT_CHARS characters, and no further back than
+   the second match of the same search before it). Seeds induce the patterns. Candidates are words with
    digits or an @ that are no base match but have a shape that a kind allows (local phone numbers, IPv6, cards that fail the
    checksum, addresses without a dot).
 3. Pattern-instance graph: patterns that have a seed are joined to all their instances, seeds and candidates, over the corpus. For
@@ -19,8 +20,6 @@ written table fixes; a null doc_id is no matter. Positions are code points, the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,104 +43,88 @@ SHAPES = {
     "card": (r"^[0-9][0-9./-]+[0-9]$", 12, 19),
     "phone": (r"^[(+]?[0-9][0-9()./+-]+[0-9]$", 7, 15),
 }
+#: Punctuation that is no part of a candidate.
+BEFORE, AFTER = r"^[\"\x27<\[{]", r"[\"\x27>\]},.;:!?]"
 CONTEXT_CHARS = 96
 ROUNDS, SUPPORT, LEAST = 3, 3, 0.6
 
-SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
-
-
-def nothing(kind: str) -> Column:
-    return F.array().cast(kind)
+SPAN = "ARRAY<STRUCT<start: INT, k: INT, end: INT, value: STRING, context: STRING>>"
 
 
-def matches(text: Column, pattern: str, k: int) -> Column:
-    """All matches as (start, k, end, value): the pieces between them give their places."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), nothing(SPAN).alias("spans"))
+# The functions below make SQL text, with names for the values that they take.
 
-    def add(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.length(x["piece"])
-        end = begin + F.length(x["value"])
-        own = F.struct(begin.alias("start"), F.lit(k).alias("k"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(own)).alias("spans"))
 
-    return F.aggregate(F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda v, p: F.struct(v.alias("value"), p.alias("piece"))), start, add, lambda done: done["spans"])
+def digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def luhn(number: str) -> str:
+    each = f"transform(split(reverse({number}), ''), (d, i) -> int(d) * (1 + i % 2))"
+    return f"aggregate({each}, 0, (n, x) -> n + x - CASE WHEN x > 9 THEN 9 ELSE 0 END) % 10 = 0"
 
 
-def luhn(number: Column) -> Column:
-    each = F.transform(F.split(F.reverse(number), ""), lambda d, i: (d.cast("int") * (1 + i % 2)))
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x - F.when(x > 9, 9).otherwise(0)) % 10 == 0
-
-
-def valid(kind: str, value: Column) -> Column:
+def valid(kind: str, value: str) -> str:
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda x: F.coalesce(x.try_cast("int") <= 255, F.lit(False)))
+        return f"forall(split({value}, '[.]'), p -> coalesce(try_cast(p AS INT) <= 255, false))"
     if kind == "card":
-        return F.length(digits(value)).between(12, 19) & luhn(digits(value))
-    if kind == "phone":
-        return F.length(digits(value)).between(9, 15)
-    return F.lit(True)
+        return f"length({digits(value)}) BETWEEN 12 AND 19 AND {luhn(digits(value))}"
+    return f"length({digits(value)}) BETWEEN 9 AND 15" if kind == "phone" else "true"
 
 
-def guarded(kind: str, text: Column) -> Column:
-    """The text, or an empty one if it can have no match."""
-    return F.when(text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]{2}|[0-9][ -][0-9]"), text).otherwise("")
+def context(before: str) -> str:
+    """The last two words, in lower case; empty if there are not two."""
+    return rf"lower(regexp_replace(regexp_extract(right({before}, {CONTEXT_CHARS}), r'(?<!\S)(\S+\s+\S+)\s*$', 1), r'\s+', ' '))"
 
 
-def base(text: Column) -> dict[str, Column]:
-    """For each kind the array of its valid matches."""
+def matches(text: str, pattern: str, k: int, valid: str) -> str:
+    """The matches v for which `valid` holds, as SPAN: the pieces between all matches give their places and contexts."""
+    both = f"zip_with(regexp_extract_all({text}, r'{pattern}', 0), split({text}, r'{pattern}', -1), (v, p) -> struct(v AS value, p AS piece))"
+    places = f"zip_with(own, {common.sums_before('transform(own, x -> length(x.piece) + length(x.value))')}, (x, at) -> struct(at + length(x.piece) AS start, x.value AS value))"
+    some = f"filter(transform({places}, (x, i) -> struct(x.start AS start, x.value AS value, i AS i)), x -> {common.bound('x.value', 'v', valid)})"
+    before = "concat_ws('', get(own, x.i - 2).piece, get(own, x.i - 2).value, get(own, x.i - 1).piece, get(own, x.i - 1).value, get(own, x.i).piece)"
+    found = f"transform({some}, x -> struct(x.start AS start, {k} AS k, x.start + length(x.value) AS end, x.value AS value, {context(before)} AS context))"
+    # what follows the last match is a piece without one
+    return common.bound(f"filter({both}, x -> x.value IS NOT NULL)", "own", found)
 
-    def checked(k: int, kind: str) -> Column:
-        return F.filter(matches(guarded(kind, text), PATTERNS[kind], k), lambda s: valid(kind, s["value"]))
 
-    return {kind: checked(k, kind) for k, kind in enumerate(KINDS)}
+def base(text: str) -> dict[str, str]:
+    """For each kind the array of its valid matches in a column."""
 
+    def some(kind: str) -> str:
+        """The text, or an empty one if it can have no match."""
+        test = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"{text} RLIKE '[0-9]{{2}}|[0-9][ -][0-9]'"
+        return f"CASE WHEN {test} THEN {text} ELSE '' END"
 
-def context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case; empty if there are not two."""
-    before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-    return F.lower(F.regexp_replace(F.regexp_extract(before, r"(?<!\S)(\S+\s+\S+)\s*$", 1), r"\s+", " "))
+    return {kind: matches(some(kind), PATTERNS[kind], k, valid(kind, "v")) for k, kind in enumerate(KINDS)}
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base and candidates: arrays of (start, k, end, value, context); a candidate's k is null."""
-    text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *(c.alias(k) for k, c in base(F.col("text")).items()))
-    out = out.withColumn("base", F.array_sort(F.concat(*KINDS))).withColumn("words", matches(F.when(F.col("text").rlike("[0-9@]"), F.col("text")).otherwise(""), CANDIDATE, -1))
-    # without punctuation around
-    out = out.withColumn("words", F.transform("words", trimmed))
-    free = F.filter("words", lambda w: shaped(w["value"]) & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+def stripped(value: str) -> str:
+    """Without punctuation around it."""
+    return f"regexp_replace({value}, r'{BEFORE}+|{AFTER}+$', '')"
 
-    def with_context(name: str | Column) -> Column:
-        return F.transform(name, lambda s: F.struct(s["start"], s["k"], s["end"], s["value"], context(F.col("text"), s["start"]).alias("context")))
 
-    return out.withColumn("free", free).select("doc_id", *KINDS, with_context("base").alias("base"), with_context("free").alias("candidates")).withColumn("row", F.monotonically_increasing_id())
-
-
-def trimmed(w: Column) -> Column:
-    left = F.length(F.regexp_extract(w["value"], r"^[\"'<\[{]*", 0))
-    value = F.regexp_replace(w["value"], r"^[\"'<\[{]+|[\"'>\]},.;:!?]+$", "")
-    return F.struct((w["start"] + left).alias("start"), w["k"].alias("k"), (w["start"] + left + F.length(value)).alias("end"), value.alias("value"))
-
-
-def allows(kind: str, value: Column) -> Column:
+def allows(kind: str, value: str) -> str:
     shape, least, most = SHAPES[kind]
-    return value.rlike(shape) & F.length(digits(value)).between(least, most)
+    return f"({value} RLIKE r'{shape}' AND length({digits(value)}) BETWEEN {least} AND {most})"
 
 
-def shaped(value: Column) -> Column:
-    return reduce(lambda a, b: a | b, (allows(kind, value) for kind in KINDS))
+def found(docs: DataFrame) -> DataFrame:
+    """row, doc_id, a column for each kind, base and candidates, all SPAN; a candidate's k is -1."""
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *(F.expr(x).alias(k) for k, x in base("text").items()))
+    out = out.withColumn("base", F.array_sort(F.concat(*KINDS)))
+    shaped = common.bound(stripped("v"), "w", " OR ".join(allows(kind, "w") for kind in KINDS))
+    words = matches("CASE WHEN text RLIKE '[0-9@]' THEN text ELSE '' END", CANDIDATE, -1, shaped)
+    left, value = f"length(regexp_extract(x.value, r'{BEFORE}*', 0))", stripped("x.value")
+    words = f"transform({words}, x -> struct(x.start + {left} AS start, x.k AS k, x.start + {left} + length({value}) AS end, {value} AS value, x.context AS context))"
+    free = common.bound(common.span_index("base"), "known", f"filter({words}, w -> NOT {common.meets('known', 'w.start', 'w.end')})")
+    return out.select("doc_id", *KINDS, "base", F.expr(free).alias("candidates")).withColumn("row", F.monotonically_increasing_id())
 
 
 def edges(rows: DataFrame) -> DataFrame:
     """(k, context, value, seed): each pattern that has a seed, with each of its instances once."""
     seeds = rows.select(F.explode("base").alias("s")).select("s.k", "s.context", "s.value").where("context <> ''").distinct().withColumn("seed", F.lit(True))
     own = rows.select(F.explode("candidates").alias("s")).select("s.context", "s.value").where("context <> ''").distinct()
-    kinds = F.array_compact(F.array(*(F.when(allows(kind, F.col("value")), F.lit(k)) for k, kind in enumerate(KINDS))))
+    kinds = F.expr(f"array_compact(array({', '.join(f'CASE WHEN {allows(kind, "value")} THEN {k} END' for k, kind in enumerate(KINDS))}))")
     own = own.select(F.explode(kinds).alias("k"), "context", "value").join(seeds.select("k", "context").distinct(), ["k", "context"], "left_semi")
     return seeds.unionByName(own.withColumn("seed", F.lit(False)))
 
@@ -164,12 +147,12 @@ def scanned(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, least
     """doc_id, a column for each kind (base spans), base and added: arrays of (start, k, end, value, context), in order."""
     rows = common.written(found(docs))
     free = rows.select("row", F.explode("candidates").alias("s"))
-    kind = reduce(lambda a, b: a | b, ((F.col("k") == k) & allows(name, F.col("s.value")) for k, name in enumerate(KINDS)))
+    kind = " OR ".join(f"k = {k} AND {allows(name, 's.value')}" for k, name in enumerate(KINDS))
     hits = free.join(trusted(rows, rounds, support, least).withColumnRenamed("context", "_context"), F.col("s.context") == F.col("_context")).where(kind)
     best = hits.groupBy("row", "s").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b"))
     span = F.struct(F.col("s.start").alias("start"), (-F.col("b.k")).alias("k"), F.col("s.end").alias("end"), F.col("s.value").alias("value"), F.col("s.context").alias("context"))
     added = best.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("added"))
-    return rows.join(added, "row", "left").withColumn("added", F.coalesce("added", nothing("array<struct<start:int,k:int,end:int,value:string,context:string>>"))).drop("row", "candidates")
+    return rows.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPAN))).drop("row", "candidates")
 
 
 def listed(spans: str) -> Column:

@@ -7,7 +7,7 @@ that text and the model alone.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Null labels are passed over; a
 doc_id labelled twice counts with its lowest label. Without labels of both classes the base rules alone decide. Repeated
-rows are scored each; other columns of the input pass through `score` untouched, and none may be named like a result.
+rows are scored each; other columns of the input pass through `score` untouched, one that is named like a result as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from leakloom.llm import common
 BINS = 1 << 16
 TRAIN_ROWS = 4_000
 #: A document goes if the chance that it is good is below this.
-LEAST_GOOD = 0.3
+LEAST_GOOD = 0.5
 MIN_WORDS = 50
 MOST_REPEATED = 0.5
 #: Words 1 and 2 in a row, bytes 3 and 5 in a row: each family's shares sum to this.
@@ -197,6 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, least_good: float = LEAST_GOOD) -> DataFrame:
     """docs with the counts of STATS, base_failed, good (the calibrated chance; null without a model) and kept."""
 
+    docs = common.apart(docs, (*STATS, "base_failed", "good", "kept"))[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):

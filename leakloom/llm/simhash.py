@@ -15,7 +15,7 @@ with the bucket. The edges' components are found by star rounds over Spark table
 
 Fingerprints: see `fingerprints`. Defined results: a null or empty text has fingerprint zero, and links as any other. A null
 doc_id is left out of components (its component_id is null); rows with equal doc_id get the least component of their
-fingerprints' own: each row has that of its own fingerprint. Other columns of the input stay in `linked` and `kept`.
+fingerprints' own: each row has that of its own fingerprint. Other columns of the input stay in `kept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -255,7 +255,7 @@ def links(prints: DataFrame, bits: int = BITS, size: int = BLOCK) -> DataFrame:
 
 
 def linked(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """docs with fingerprint (16 hexadecimal digits) and component_id (the least doc_id that can be reached by links)."""
+    """A row for each of docs: doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id that can be reached by links)."""
     ids = common.written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"))
     prints = common.written(ids.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components.least_reachable(links(prints, bits))
@@ -268,9 +268,11 @@ def linked(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
 def kept(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row of docs for each component: that of the least doc_id, and of rows with equal doc_id the one of the lowest
     text hash. Rows with a null doc_id stay."""
-    stay = linked(docs, words, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_hash", F.xxhash64("text"))
-    first = one.groupBy("doc_id").agg(*(F.min_by(F.struct(*docs.columns), "_hash").alias("_row"),)).select("_row.*")
+    stay = linked(docs, words, bits).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(stay, "doc_id", "left_semi")
+    # rows of equal ids and texts: the first by their other columns
+    order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    first = one.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
     return first.union(docs.where("doc_id is null"))
 
 

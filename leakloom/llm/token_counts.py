@@ -9,8 +9,8 @@ A leaf that has grown beyond 4 x LEAF is split by building the tree anew from th
 
 Tokens are counted by the given rank file, each match of the split pattern by itself, without special tokens.
 
-Defined results: a null text is empty; an empty one has no tokens. Edits out of range are clipped to the text. `counted` and `edited`
-judge each row by itself, whatever its doc_id, and keep the other columns. A null list of edits is an empty one.
+Defined results: a null text is empty; an empty one has no tokens. Edits out of range are clipped to the text. `edited`
+judges each row by itself, whatever its doc_id, and keeps the other columns, one that is named like a result as `<name>_in`. A null list of edits is an empty one.
 """
 
 from __future__ import annotations
@@ -186,6 +186,7 @@ EDIT = "array<struct<start:int,end:int,text:string>>"
 def edited(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
     """docs, which has a column of edits (EDIT), with n_tokens, n_pretokens, n_tokens_after and n_encoded (pre-tokens that the edits encoded)."""
     file = bpe.given(docs.sparkSession, path)
+    docs = common.apart(docs, ("n_tokens", "n_pretokens", "n_tokens_after", "n_encoded"))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(file.value, pattern)

@@ -15,7 +15,7 @@ that copies of one text do not make its words insults), and the regression. A se
 
 Scores depend on the text alone. Defined results: a null or empty text, and any without a matched clause, gets the regression's base
 score. A doc_id labelled twice is toxic if one label says so; null labels are passed over. Without labels of both classes fixed weights
-score the seeds. Rows are scored each by itself; other columns of the input stay, and none may be named score.
+score the seeds. Rows are scored each by itself; other columns of the input stay, one named score as score_in.
 """
 
 from __future__ import annotations
@@ -256,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score."""
+    docs = common.apart(docs, ("score",))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(model.words, model.stems)
