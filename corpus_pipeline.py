@@ -15,13 +15,15 @@ from leakloom.llm import bpe, common, decontaminate, line_dedup, quality, simhas
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.rules(docs, common.table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    judged = quality.rules(docs, common.table(spark, sf_dir, "labels")).where("kept")
+    return judged.select(*judged.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    out = out.withColumn("n_chars", n_chars)
+    return out.select(*out.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
