@@ -5,10 +5,236 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from leakloom.functions import constants
+from leakloom.functions.sqltext import entropy
+from leakloom.operators import detect, history
+from leakloom.operators import findings as results
+from leakloom.operators import rules as R
+from leakloom.plans import corpus, limits
+from leakloom.sources import text
+
+NOW = "2025-01-01 00:00:00"
+LINES = f"(WITH corpus AS ({corpus.sql('duckdb')}) SELECT file_id, path, CAST(i AS INTEGER) AS line, l[i] AS text FROM (SELECT file_id, path, string_split(content, chr(10)) AS l FROM corpus), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines(corpus.files(spark, sf_dir), "file_id", "path", "content")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return text.lines(docs, "doc_id", "concat(source, '/', doc_id, '.txt')", "text")
+
+
+def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(spark, sf_dir).selectExpr("file_id", "line", "CAST(octet_length(text) AS BIGINT) AS n_bytes", "sha2(text, 256) AS text_sha256")
+
+
+def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = document_lines(spark, sf_dir).selectExpr("file_id", "line", "octet_length(text) + 1 AS n")
+    return own.selectExpr("file_id", "line", "CAST(sum(n) OVER (PARTITION BY file_id ORDER BY line) - n AS BIGINT) AS start_byte")
+
+
+def path_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.files(spark, sf_dir).selectExpr("path", f"{text.eligible()} AS eligible")
+
+
+EXCLUSIONS = (("**/vendor/**", "ignore"), ("src/o/**", "warn"), ("**/f*2.env", "allow"))
+
+
+def exclusion_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.files(spark, sf_dir).selectExpr("path", f"{text.policy(EXCLUSIONS)} AS policy")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """Findings as a sink may see them: without the value."""
+    return found.selectExpr("file_id", "path", "line", "rule", "severity", "CAST(start_column AS BIGINT) AS start_column", "CAST(end_column AS BIGINT) AS end_column")
+
+
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(detect.findings(corpus_lines(spark, sf_dir)))
+
+
+def provider_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = tuple(r for r in R.BUILTIN if r.kind == "token")
+    return placed(detect.findings(corpus_lines(spark, sf_dir), some, with_entropy=False))
+
+
+def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_findings(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("path").alias("n_files"))
+
+
+CUSTOM = (R.Rule("Planted token", 'token = "([0-9a-f]{40})"', "Low", "netrc", "true", ("token",), builtin=False),)
+
+
+def custom_rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.candidates(document_lines(spark, sf_dir), CUSTOM)
+    return found.selectExpr("file_id", "line", "CAST(end - octet_length(secret) AS BIGINT) AS start_column", "CAST(end - 1 AS BIGINT) AS end_column", "sha2(secret, 256) AS value_sha256")
+
+
+def entropy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(spark, sf_dir).transform(detect.quoted_values).where("before LIKE '%\"'").selectExpr("file_id", "line", "sha2(value, 256) AS value_sha256", "round(entropy, 9) AS entropy").distinct()
+
+
+def entropy_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"round({entropy('p_name')}, 9) AS entropy")
+
+
+def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey % 1000 AS start", "l_partkey % 1000 + CAST(l_quantity AS BIGINT) * 4 AS end")
+    return results.merged_spans(spans, ["l_orderkey"])
+
+
+def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
+    return results.groups(found)
+
+
+def _exceptions(found: DataFrame) -> DataFrame:
+    ids = found.where("file_id % 3 = 0").selectExpr(f"{results.evidence_id()} AS occurrence_id", "CASE WHEN file_id % 2 = 0 THEN TIMESTAMP '2030-01-01' ELSE TIMESTAMP '2025-01-01' END AS expires_at")
+    return ids.union(found.sparkSession.sql("SELECT 'gone' AS occurrence_id, TIMESTAMP '2031-01-01' AS expires_at"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
+
+
+def reviews_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _tokens(spark, sf_dir)
+    return results.reviewed(found, _exceptions(found), NOW).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def exception_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _tokens(spark, sf_dir)
+    return results.audit(results.reviewed(found, _exceptions(found), NOW), _exceptions(found))
+
+
+def top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _tokens(spark, sf_dir)
+    judged = results.reviewed(found, _exceptions(found), NOW)
+    return judged.selectExpr("status = 'accepted' AS accepted", "path", "CAST(line AS BIGINT) AS line", "rule").orderBy("accepted", "path", "line", "rule").limit(100)
+
+
+def added_line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file_id", "l_partkey % 40 AS line").distinct()
+    return history.added_intervals(added, ["file_id"])
+
+
+def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen commits a user of the events: each the child of the one before, every fifth also of the fourth before."""
+    numbered = table(spark, sf_dir, "events").selectExpr("user_id", "ts", "event_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n").where("n <= 16")
+    own = numbered.selectExpr("user_id * 100 + n AS commit", "n", "user_id * 100 + n - 1 AS p", "user_id * 100 + n - 4 AS q")
+    first = own.selectExpr("commit", "n", "CASE WHEN n > 1 THEN p END AS parent")
+    return first.union(own.where("n % 5 = 0").selectExpr("commit", "n", "q AS parent"))
+
+
+def reachable_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _commits(spark, sf_dir)
+    return history.introduced(edges.select("commit", "parent"), edges.where("n = 12").select("commit"), edges.where("n = 7").select("commit"))
+
+
+def date_filtered_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = "ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-08 00:00:00'"
+    return table(spark, sf_dir, "events").selectExpr("count(*) AS reachable", f"count_if({picked}) AS selected", f"count_if(NOT ({picked})) AS omitted_by_date")
+
+
+def inventory_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = corpus.files(spark, sf_dir).selectExpr("path", "octet_length(content) AS size", "sha2(content, 256) AS sha256")
+    then = corpus.files(spark, sf_dir).where("file_id % 50 <> 7").selectExpr("path AS p", "octet_length(content) AS s", "sha2(CASE WHEN file_id % 50 = 9 THEN concat(content, 'x') ELSE content END, 256) AS h")
+    state = "CASE WHEN p IS NULL THEN 'added' WHEN path IS NULL THEN 'missing' WHEN size <> s OR sha256 <> h THEN 'changed' ELSE 'equal' END AS state"
+    return now.join(then, F.col("path") == F.col("p"), "full_outer").selectExpr(state).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def engine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of 4 KiB every 2 KiB over the bytes of documents."""
+    own = table(spark, sf_dir, "documents").where("text <> ''").selectExpr("doc_id", "CAST(text AS BINARY) AS b")
+    cut = own.selectExpr("doc_id", "b", "explode(sequence(0, octet_length(b) - 1, 2048)) AS start")
+    return cut.selectExpr("doc_id", "CAST(start AS BIGINT) AS start", "sha2(substring(b, start + 1, 4096), 256) AS window_sha256")
+
+
+def introduced_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = corpus_lines(spark, sf_dir)
+    found = _tokens(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
+    old = found.where("file_id % 3 <> 1")
+    return placed(history.new_findings(found, old))
+
+
+def coverage_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = limits.receipt(corpus.files(spark, sf_dir))
+    return own.select(*(F.col(c).cast("long").alias(c) for c in own.columns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        lines_explode, byte_offsets, path_eligibility, exclusion_last_match, scan_findings, provider_tokens, severity_summary, rule_summary, custom_rule_tokens, entropy_values, entropy_of_words,
+        interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
+    )
+}
+
+_DOC_LINES = r"(SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line, regexp_replace(l[i], '\r$', '') AS text FROM (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE text <> ''), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
+_CORPUS = corpus.sql("duckdb")
+_NAMES = ", ".join(f"'{x}'" for x in constants.EXTENSIONS.split())
+_EDGE = "(?:^|[^A-Za-z0-9_])"
+# each line of the corpus holds one credential at most
+_FOUND = f"""
+SELECT file_id, path, line, rule, severity, start_column, start_column + strlen(value) - 1 AS end_column, value FROM (
+  SELECT *, CAST(strlen(left(text, position(value IN text) - 1)) + 1 AS BIGINT) AS start_column FROM (
+    SELECT *, 'GitHub Token' AS rule, 'Critical' AS severity, regexp_extract(text, '{_EDGE}(gh[pousr]_[A-Za-z0-9]{{36}})(?:$|[^A-Za-z0-9_])', 1) AS value FROM {LINES}
+    UNION ALL SELECT *, 'npm Access Token', 'Critical', regexp_extract(text, '{_EDGE}(npm_[A-Za-z0-9]{{36}})(?:$|[^A-Za-z0-9_])', 1) FROM {LINES}
+    UNION ALL SELECT *, 'Password in Object', 'High', regexp_extract(text, 'password: ''([^'']{{8,}})''', 1) FROM {LINES}
+    UNION ALL SELECT *, 'Generic API Key', 'High', regexp_extract(text, 'api_key => `([0-9a-f]{{32}})`', 1) FROM {LINES}
+    UNION ALL SELECT *, 'Database Connection String', 'Critical', regexp_extract(text, 'postgres://[a-z]+:[0-9a-f]+@host/db', 0) FROM {LINES}
+  ) WHERE value <> '')"""
+_TOKENS = f"(SELECT * FROM ({_FOUND}) WHERE rule LIKE '% Token')"
+_PLACED = "file_id, path, line, rule, severity, start_column, end_column"
+_ID = "'ev-v1:' || sha256('[\"source\",\"' || path || '\",\"' || rule || '\",' || line || ',' || start_column || ',' || end_column || ']')"
+_EXCEPTIONS = f"(SELECT {_ID} AS occurrence_id, file_id % 2 = 0 AS holds FROM {_TOKENS} WHERE file_id % 3 = 0 UNION ALL SELECT 'gone', true)"
+_JUDGED = f"(SELECT t.*, CASE WHEN holds THEN 'accepted' WHEN NOT holds THEN 'expired' ELSE 'blocking' END AS status FROM (SELECT *, {_ID} AS id FROM {_TOKENS}) t LEFT JOIN {_EXCEPTIONS} e ON id = occurrence_id)"
+_EDGES = """WITH RECURSIVE numbered AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+edges AS (SELECT user_id * 100 + n AS c, n, CASE WHEN n > 1 THEN user_id * 100 + n - 1 END AS p FROM numbered WHERE n <= 16 UNION ALL SELECT user_id * 100 + n, n, user_id * 100 + n - 4 FROM numbered WHERE n <= 16 AND n % 5 = 0),
+head AS (SELECT c FROM edges WHERE n = 12 UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
+base AS (SELECT c FROM edges WHERE n = 7 UNION SELECT p FROM base JOIN edges USING (c) WHERE p IS NOT NULL)"""
+
+ORACLES: dict[str, str] = {
+    "lines_explode": f"SELECT file_id, line, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM {_DOC_LINES}",
+    "byte_offsets": f"SELECT file_id, line, CAST(sum(strlen(text) + 1) OVER (PARTITION BY file_id ORDER BY line) - strlen(text) - 1 AS BIGINT) AS start_byte FROM {_DOC_LINES}",
+    "path_eligibility": f"SELECT path, regexp_extract(path, '[^/]\\.([a-z]+)$', 1) IN ({_NAMES}) AS eligible FROM ({_CORPUS})",
+    "exclusion_last_match": f"SELECT path, CASE WHEN path LIKE '%/f%2.env' THEN 'allow' WHEN path LIKE 'src/o/%' THEN 'warn' WHEN path LIKE '%/vendor/%' THEN 'ignore' ELSE 'allow' END AS policy FROM ({_CORPUS})",
+    "scan_findings": f"SELECT {_PLACED} FROM ({_FOUND})",
+    "provider_tokens": f"SELECT {_PLACED} FROM {_TOKENS}",
+    "severity_summary": f"SELECT severity, count(*) AS n FROM ({_FOUND}) GROUP BY severity",
+    "rule_summary": f"SELECT rule, count(*) AS n, count(DISTINCT path) AS n_files FROM ({_FOUND}) GROUP BY rule",
+    "custom_rule_tokens": f"SELECT file_id, line, CAST(p0 AS BIGINT) AS start_column, CAST(p0 + 39 AS BIGINT) AS end_column, sha256(v) AS value_sha256 FROM (SELECT *, strlen(left(text, position('token = \"' || v IN text) - 1)) + 10 AS p0 FROM (SELECT *, unnest(regexp_extract_all(text, 'token = \"([0-9a-f]{{40}})\"', 1)) AS v FROM {_DOC_LINES}))",
+    "entropy_values": f"""WITH q AS (SELECT DISTINCT file_id, line, v FROM (SELECT file_id, line, unnest(regexp_extract_all(text, '"([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 1)) AS v FROM {_DOC_LINES}) WHERE length(v) >= 30 AND NOT (contains(v, '/') AND contains(v, '.')) AND regexp_full_match(v, '[A-Za-z0-9_.+/=:%-]+'))
+SELECT file_id, line, sha256(v) AS value_sha256, round(-sum(s * log2(s)), 9) AS entropy FROM (SELECT file_id, line, v, count(*) / length(v) AS s FROM (SELECT *, unnest(string_split(v, '')) AS c FROM q) GROUP BY file_id, line, v, c) GROUP BY file_id, line, v""",
+    "entropy_of_words": "SELECT p_partkey, round(-sum(s * log2(s)), 9) AS entropy FROM (SELECT p_partkey, count(*) / any_value(length(p_name)) AS s FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_partkey, c) GROUP BY p_partkey",
+    "interval_merge": """SELECT l_orderkey, min(s) AS start, max(e) AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+SELECT l_orderkey, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS BIGINT) * 4 AS e FROM lineitem))) GROUP BY l_orderkey, island""",
+    "logical_groups": f"SELECT 'group-v1:' || sha256(string_agg(id, ',' ORDER BY id)) AS group_id, any_value(severity) AS severity, count(*) AS n_occurrences, count(DISTINCT path) AS n_files, any_value(rule) AS rules FROM (SELECT *, {_ID} AS id FROM {_TOKENS}) GROUP BY value",
+    "reviews_applied": f"SELECT status, count(*) AS n FROM {_JUDGED} GROUP BY status",
+    "exception_audit": f"SELECT (SELECT count(*) FROM {_EXCEPTIONS}) AS entries, count(*) AS matched, CAST(1 AS BIGINT) AS unmatched, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'expired') AS expired FROM {_JUDGED} WHERE status <> 'blocking'",
+    "top_annotations": f"SELECT status = 'accepted' AS accepted, path, CAST(line AS BIGINT) AS line, rule FROM {_JUDGED} ORDER BY 1, 2, 3, 4 LIMIT 100",
+    "added_line_islands": "SELECT file_id, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS island FROM (SELECT DISTINCT l_orderkey AS file_id, l_partkey % 40 AS line FROM lineitem)) GROUP BY file_id, island",
+    "reachable_except": f'{_EDGES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
+    "date_filtered_commits": "SELECT count(*) AS reachable, count(*) FILTER (p) AS selected, count(*) FILTER (NOT p) AS omitted_by_date FROM (SELECT ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' AS p FROM events)",
+    "inventory_verify": f"SELECT CASE file_id % 50 WHEN 7 THEN 'added' WHEN 9 THEN 'changed' ELSE 'equal' END AS state, count(*) AS n FROM ({_CORPUS}) GROUP BY 1",
+    "engine_windows": "SELECT doc_id, start, sha256(b[start + 1 : start + 4096]) AS window_sha256 FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, strlen(text), 2048)) AS start FROM documents WHERE text <> '')",
+    "introduced_anti_join": f"SELECT {_PLACED} FROM {_TOKENS} WHERE file_id % 3 = 1",
+    "coverage_receipt": f"SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS total_bytes, max(strlen(content)) AS longest_file, max(list_max([strlen(x) for x in string_split(content, chr(10))])) AS longest_line FROM ({_CORPUS})",
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return severity_summary(spark, sf_dir)
