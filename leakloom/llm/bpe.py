@@ -29,9 +29,9 @@ from leakloom.llm import common
 
 LONG = 256
 LEVELS = 64
-KEPT = 500_000
+KEPT = 300_000
 #: Words that DuckDB encodes at once.
-AT_ONCE = 40_000
+AT_ONCE = 20_000
 
 STEPS = """
 WITH RECURSIVE steps(step, wid, toks) AS (
@@ -103,7 +103,7 @@ class Codec:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.ids: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}  # words that don't decode to themselves: none, unless the vocabulary is broken
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -210,7 +210,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) ->
                 yield pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
     fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] if digests else [("ids", "array<int>")]
-    return docs.mapInArrow(run, added(docs, *fields))
+    return docs.mapInArrow(lambda rows: common.released(run(rows)), added(docs, *fields))
 
 
 def decoded(df: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -101,6 +104,17 @@ def meets(index: str, start: str, end: str) -> str:
     return f"exists({index}, b -> b.start < {end} AND {start} < b.end AND exists(b.spans, s -> s.start < {end} AND {start} < s.end))"
 
 
+def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows; at their end the worker gives memory that it no longer uses back, since it lives on for other tasks."""
+    try:
+        yield from rows
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most so many bytes of a text column, or of one row. Whole rows, in order."""
     n = batch.num_rows

@@ -209,7 +209,7 @@ def search_block(index: DataFrame, block: Windows) -> DataFrame:
             for row in range(batch.num_rows):
                 yield one(batch, row)
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(lambda rows: common.released(run(rows)), HITS)
 
 
 def merged(spans: list[tuple[int, int]]) -> np.ndarray:

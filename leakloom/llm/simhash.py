@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, column: str = "fp") -> Dat
                 prints = np.array([fingerprint(t.as_py(), words) for t in part.column("text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(column, "long"))
+    return docs.mapInArrow(lambda rows: common.released(run(rows)), StructType(list(docs.schema.fields)).add(column, "long"))
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, bits: int) -> list[tuple[int, int]]:
