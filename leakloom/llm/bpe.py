@@ -103,7 +103,7 @@ class Codec:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.ids: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}  # words that don't decode to themselves: none, unless the vocabulary is broken
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "allocator_flush_threshold": "16MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
@@ -194,7 +194,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, digests: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(file.value, pattern)
         for batch in batches:
-            for part in common.slices(batch, "text"):
+            for part in common.slices(batch, "text", 4 << 20):
                 split = [own.find(t or "") for t in part.column("text").to_pylist()]
                 own.learn(set().union(*split))
                 if digests:

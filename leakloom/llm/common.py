@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: The bytes that the contracts call white space: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
