@@ -29,9 +29,9 @@ from leakloom.llm import common
 
 LONG = 256
 LEVELS = 64
-KEPT = 300_000
+KEPT = 200_000
 #: Words that DuckDB encodes at once.
-AT_ONCE = 20_000
+AT_ONCE = 4_000
 
 STEPS = """
 WITH RECURSIVE steps(step, wid, toks) AS (
@@ -103,7 +103,7 @@ class Codec:
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.ids: dict[str, str] = {}
         self.odd: dict[str, bytes] = {}  # words that don't decode to themselves: none, unless the vocabulary is broken
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "allocator_flush_threshold": "16MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "128MB", "allocator_flush_threshold": "16MB", "temp_directory": os.path.join(tempfile.gettempdir(), "leakloom-duckdb")})
         pairs, ranks = [], []
         for token, rank in self.ranks.items():
             for k in range(1, len(token)):
