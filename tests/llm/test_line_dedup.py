@@ -77,3 +77,52 @@ def test_edges(spark):
 def test_plan_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert not re.search("Python|Arrow|Pandas", line_dedup.deduplicated(docs)._jdf.queryExecution().toString())
+
+
+def common_runs(docs, min_words=50):
+    """Brute force: doc_id to the places in runs of over min_words words that are equal to a run of a document with a lower id."""
+    texts = {i: text.split("\n") for i, text in docs}
+    gone = {i: set() for i in texts}
+    for i, own in texts.items():
+        for j, other in texts.items():
+            for shift in range(-len(other) + 1, len(own)) if j < i else ():
+                run = []
+                for k in range(len(own) + 1):
+                    if k < len(own) and 0 <= k - shift < len(other) and own[k] == other[k - shift]:
+                        run.append(k)
+                    else:
+                        gone[i] |= set(run) if sum(len(own[x].split()) for x in run) > min_words else set()
+                        run = []
+    return gone
+
+
+def places(removed):
+    return {k for span in removed.split(",") if span for k in range(int(span.split(":")[0]), int(span.split(":")[1]) + 1)}
+
+
+def test_passages_with_blank_and_frequent_lines_against_brute_force(spark):
+    rng = random.Random(11)
+    own = lambda: [words(rng, 7) for _ in range(rng.randint(1, 4))]
+    apart = [[words(rng, 40) for _ in range(4)], [words(rng, 45), words(rng, 30)]]
+    part = [words(rng, 12) for _ in range(3)]
+    stock = words(rng, 6)
+    docs = [(i, "\n".join([*own(), "", stock, "", *own()])) for i in range(20)]
+    docs += [(20 + i, "\n".join([*own(), "\n\n".join(apart[0]), *own()])) for i in range(3)]  # blank lines
+    docs += [(30 + i, "\n".join([*own(), apart[1][0], stock, apart[1][1], *own()])) for i in range(3)]  # a frequent line
+    docs += [(40 + i, "\n".join([*own(), *part, *own()])) for i in range(8)]  # part of the next, too short alone
+    docs += [(50 + i, "\n".join([words(rng, 9), *part, words(random.Random(1), 30), *own()])) for i in range(2)]
+    docs += [(60, "\n".join([apart[0][0], "", words(rng, 9)])), (61, "\n".join([words(rng, 9), "", apart[0][1]]))]  # no common run with 20 of over 50 words
+    want = common_runs(docs)
+    got = {r.doc_id: places(r.removed) for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and len(want[21]) == 7 and len(want[31]) == 3 and len(want[51]) == 4 and not want[60]
+
+
+def test_random_lines_against_brute_force(spark):
+    rng = random.Random(5)
+    lines = [words(rng, n) for n in (1, 2, 3, 8, 12, 20, 30, 60)]
+    texts = {tuple(rng.choice(lines) for _ in range(rng.randint(3, 9))) for _ in range(60)}
+    docs = [(i, "\n".join(x)) for i, x in enumerate(sorted(texts))]
+    got = {r.doc_id: places(r.removed) for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = common_runs(docs)
+    assert all(want[i] <= got[i] for i in want)
+    assert sum(len(got[i] - want[i]) for i in want) <= sum(len(x) - len(set(x)) for x in texts)  # more goes only where a text repeats itself
