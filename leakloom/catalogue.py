@@ -143,6 +143,20 @@ def reachable_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.introduced(edges.select("commit", "parent"), edges.where("n = 12").select("commit"), edges.where("n = 7").select("commit"))
 
 
+def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit for every event, with its user's last number: each the child of the one before, every fifth also of the fourth before."""
+    numbered = table(spark, sf_dir, "events").selectExpr("user_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n", "count(*) OVER (PARTITION BY user_id) AS last")
+    own = numbered.selectExpr("user_id * 1000000000 + n AS commit", "n", "last")
+    first = own.selectExpr("commit", "n", "last", "CASE WHEN n > 1 THEN commit - 1 END AS parent")
+    return first.union(own.where("n % 5 = 0").selectExpr("commit", "n", "last", "commit - 4 AS parent"))
+
+
+def reachable_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As reachable_except, over whole histories: from each user's last commit, without what its middle one reaches."""
+    edges = _histories(spark, sf_dir)
+    return history.introduced(edges.select("commit", "parent"), edges.where("n = last").select("commit"), edges.where("n = (last + 1) div 2").select("commit"))
+
+
 def date_filtered_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     picked = "ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-08 00:00:00'"
     return table(spark, sf_dir, "events").selectExpr("count(*) AS reachable", f"count_if({picked}) AS selected", f"count_if(NOT ({picked})) AS omitted_by_date")
@@ -178,7 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, byte_offsets, path_eligibility, exclusion_last_match, scan_findings, provider_tokens, severity_summary, rule_summary, custom_rule_tokens, entropy_values, entropy_of_words,
-        interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
+        interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, reachable_except_all, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
     )
 }
 
@@ -205,6 +219,10 @@ _EDGES = """WITH RECURSIVE numbered AS (SELECT user_id, row_number() OVER (PARTI
 edges AS (SELECT user_id * 100 + n AS c, n, CASE WHEN n > 1 THEN user_id * 100 + n - 1 END AS p FROM numbered WHERE n <= 16 UNION ALL SELECT user_id * 100 + n, n, user_id * 100 + n - 4 FROM numbered WHERE n <= 16 AND n % 5 = 0),
 head AS (SELECT c FROM edges WHERE n = 12 UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
 base AS (SELECT c FROM edges WHERE n = 7 UNION SELECT p FROM base JOIN edges USING (c) WHERE p IS NOT NULL)"""
+_HISTORIES = """WITH RECURSIVE numbered AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS last FROM events),
+edges AS (SELECT user_id * 1000000000 + n AS c, n, last, CASE WHEN n > 1 THEN user_id * 1000000000 + n - 1 END AS p FROM numbered UNION ALL SELECT user_id * 1000000000 + n, n, last, user_id * 1000000000 + n - 4 FROM numbered WHERE n % 5 = 0),
+head AS (SELECT c FROM edges WHERE n = last UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
+base AS (SELECT c FROM edges WHERE n = (last + 1) // 2 UNION SELECT p FROM base JOIN edges USING (c) WHERE p IS NOT NULL)"""
 
 ORACLES: dict[str, str] = {
     "lines_explode": f"SELECT file_id, line, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM {_DOC_LINES}",
@@ -228,6 +246,7 @@ SELECT l_orderkey, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS
     "top_annotations": f"SELECT status = 'accepted' AS accepted, path, CAST(line AS BIGINT) AS line, rule FROM {_JUDGED} ORDER BY 1, 2, 3, 4 LIMIT 100",
     "added_line_islands": "SELECT file_id, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS island FROM (SELECT DISTINCT l_orderkey AS file_id, l_partkey % 40 AS line FROM lineitem)) GROUP BY file_id, island",
     "reachable_except": f'{_EDGES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
+    "reachable_except_all": f'{_HISTORIES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
     "date_filtered_commits": "SELECT count(*) AS reachable, count(*) FILTER (p) AS selected, count(*) FILTER (NOT p) AS omitted_by_date FROM (SELECT ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' AS p FROM events)",
     "inventory_verify": f"SELECT CASE file_id % 50 WHEN 7 THEN 'added' WHEN 9 THEN 'changed' ELSE 'equal' END AS state, count(*) AS n FROM ({_CORPUS}) GROUP BY 1",
     "engine_windows": "SELECT doc_id, start, sha256(b[start + 1 : start + 4096]) AS window_sha256 FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, strlen(text), 2048)) AS start FROM documents WHERE text <> '')",

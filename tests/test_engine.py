@@ -102,6 +102,24 @@ def test_reachability_on_long_and_merged_histories(spark):
     assert got == set(range(121, 301)) | {1000}
 
 
+def test_histories_have_no_cap(spark, tmp_path):
+    sizes = {1: 1, 2: 16, 3: 17, 4: 230}
+    rows = [(u, e, u * 1000 + e) for u, n in sizes.items() for e in range(n)]
+    spark.createDataFrame(rows, "user_id long, ts long, event_id long").write.parquet(f"{tmp_path}/events.parquet")
+
+    def reached(tip):
+        seen, todo = set(), [tip]
+        while todo:
+            n = todo.pop()
+            if n >= 1 and n not in seen:
+                seen.add(n)
+                todo += [n - 1, n - 4] if n % 5 == 0 else [n - 1]
+        return seen
+
+    want = {u * 10**9 + n for u, last in sizes.items() for n in reached(last) - reached((last + 1) // 2)}
+    assert {r[0] for r in catalogue.reachable_except_all(spark, str(tmp_path)).collect()} == want and 4 * 10**9 + 230 in want
+
+
 def test_new_findings_and_groups(spark):
     row = "path string, line int, start_column int, rule string, value string, text string"
     child = spark.createDataFrame([("a", 1, 1, "r", "v", "x v"), ("a", 3, 1, "r", "v", "x v"), ("b", 1, 1, "r", "v", "x v")], row)
