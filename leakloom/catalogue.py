@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,9 +96,16 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.merged_spans(spans, ["l_orderkey"])
 
 
-def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
-    return results.groups(found)
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
+
+
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.findings(corpus_lines(spark, sf_dir))
+
+
+def logical_groups(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
+    return results.groups(source(spark, sf_dir))
 
 
 def _exceptions(found: DataFrame) -> DataFrame:
@@ -105,22 +113,18 @@ def _exceptions(found: DataFrame) -> DataFrame:
     return ids.union(found.sparkSession.sql("SELECT 'gone' AS occurrence_id, TIMESTAMP '2031-01-01' AS expires_at"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
-
-
-def reviews_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _tokens(spark, sf_dir)
+def reviews_applied(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
+    found = source(spark, sf_dir)
     return results.reviewed(found, _exceptions(found), NOW).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def exception_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _tokens(spark, sf_dir)
+def exception_audit(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
+    found = source(spark, sf_dir)
     return results.audit(results.reviewed(found, _exceptions(found), NOW), _exceptions(found))
 
 
-def top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _tokens(spark, sf_dir)
+def top_annotations(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
+    found = source(spark, sf_dir)
     judged = results.reviewed(found, _exceptions(found), NOW)
     return judged.selectExpr("status = 'accepted' AS accepted", "path", "CAST(line AS BIGINT) AS line", "rule").orderBy("accepted", "path", "line", "rule").limit(100)
 
@@ -176,9 +180,9 @@ def engine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.selectExpr("doc_id", "CAST(start AS BIGINT) AS start", "sha2(substring(b, start + 1, 4096), 256) AS window_sha256")
 
 
-def introduced_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def introduced_anti_join(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
     lines = corpus_lines(spark, sf_dir)
-    found = _tokens(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
+    found = source(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
     old = found.where("file_id % 3 <> 1")
     return placed(history.new_findings(found, old))
 
@@ -196,6 +200,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: As the queries without _all, which take tokens alone, over the findings of all rules and of entropy.
+WIDENED = (logical_groups, reviews_applied, exception_audit, top_annotations, introduced_anti_join)
+QUERIES |= {f"{f.__name__}_all": partial(f, source=_every) for f in WIDENED}
+
 _DOC_LINES = r"(SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line, regexp_replace(l[i], '\r$', '') AS text FROM (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE text <> ''), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
 _CORPUS = corpus.sql("duckdb")
 _NAMES = ", ".join(f"'{x}'" for x in constants.EXTENSIONS.split())
@@ -253,6 +261,7 @@ SELECT l_orderkey, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS
     "introduced_anti_join": f"SELECT {_PLACED} FROM {_TOKENS} WHERE file_id % 3 = 1",
     "coverage_receipt": f"SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS total_bytes, max(strlen(content)) AS longest_file, max(list_max([strlen(x) for x in string_split(content, chr(10))])) AS longest_line FROM ({_CORPUS})",
 }
+ORACLES |= {f"{f.__name__}_all": ORACLES[f.__name__].replace(_TOKENS, f"({_FOUND})") for f in WIDENED}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

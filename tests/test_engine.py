@@ -34,6 +34,14 @@ def test_query_equals_its_sql(spark, db, name):
     assert own == sorted(tuple(str(dict(zip(want.columns, r, strict=True))[c]) for c in columns) for r in want.fetchall())
 
 
+def test_groups_reviews_and_introduced_take_all_findings(spark):
+    n = catalogue.scan_findings(spark, SF).count()
+    judged = {r.status: r.n for r in catalogue.QUERIES["reviews_applied_all"](spark, SF).collect()}
+    assert sum(judged.values()) == n > catalogue.provider_tokens(spark, SF).count()
+    assert "Database Connection String" in {r.rule for r in catalogue.QUERIES["introduced_anti_join_all"](spark, SF).collect()}
+    assert catalogue.QUERIES["logical_groups_all"](spark, SF).agg({"n_occurrences": "sum"}).first()[0] == n
+
+
 def scan(spark, files, **more):
     docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "file_id long, path string, content string")
     rows = detect.findings(text.lines(docs, "file_id", "path", "content"), **more).collect()
