@@ -14,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+#: Bytes of an Arrow batch on its way to a Python worker; a single row may be larger.
+BATCH_BYTES = 4 << 20
 
 #: The bytes that the contracts call white space: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
@@ -104,6 +107,13 @@ def meets(index: str, start: str, end: str) -> str:
     return f"exists({index}, b -> b.start < {end} AND {start} < b.end AND exists(b.spans, s -> s.start < {end} AND {start} < s.end))"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches between the JVM and Python workers, which both sides hold several times over. A bound that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864"):  # Spark's default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows; at their end the worker gives memory that it no longer uses back, since it lives on for other tasks."""
     try:

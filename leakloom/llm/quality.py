@@ -1,13 +1,13 @@
 """Quality rules: fixed counts, and a logistic regression over hashed n-grams learnt from labelled rows.
 
-Features are word 1-grams, word 2-grams and byte 3-grams and 5-grams of the whole text, hashed into BINS bins, as shares of
+Features are word 1-grams, word 2-grams and character 3-grams and 5-grams of the whole text, hashed into BINS bins, as shares of
 their family. The regression is fitted in one task on at most `train_rows` labelled rows, and its logit is mapped to a
 probability by Platt scaling on rows that the fit did not see. Scoring runs in Arrow batches; each text's score depends on
-that text and the model alone.
+that text and the model alone. Repeated windows are told apart by 64-bit hashes.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. Null labels are passed over; a
 doc_id labelled twice counts with its lowest label. Without labels of both classes the base rules alone decide. Repeated
-rows are scored each; other columns of the input pass through `score` untouched, one that is named like a result as `<name>_in`.
+rows are scored each; very long texts are scored whole, ties at the threshold are kept, an empty table gives an empty one; other columns of the input pass through `score` untouched, one that is named like a result as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ TRAIN_ROWS = 4_000
 LEAST_GOOD = 0.5
 MIN_WORDS = 50
 MOST_REPEATED = 0.5
-#: Words 1 and 2 in a row, bytes 3 and 5 in a row: each family's shares sum to this.
+#: Words 1 and 2 in a row, characters 3 and 5 in a row: each family's shares sum to this.
 WEIGHT = 8.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -66,12 +66,14 @@ class Pieces:
         yield (self.words >> shift).astype(np.int32), np.ones(len(self.words), bool), self.words_at
         h, whole = self.in_a_row(2)
         yield (h >> shift).astype(np.int32), whole, np.minimum(self.words_at, len(h))
+        points = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+        chars_at = np.searchsorted(points, self.offsets)
         for n in (3, 5):
-            h = self.rolling.grams(n)
+            h = self.rolling.of(points[:-n], points[n:]) if len(points) > n else np.zeros(0, np.uint64)
             whole = np.ones(len(h), bool)
-            for at in self.offsets[1:-1]:
+            for at in chars_at[1:-1]:
                 whole[max(0, at - n + 1) : at] = False
-            yield (common.mixed(h + np.uint64(n)) >> shift).astype(np.int32), whole, np.minimum(self.offsets, len(h))
+            yield (common.mixed(h + np.uint64(n)) >> shift).astype(np.int32), whole, np.minimum(chars_at, len(h))
 
     def stats(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         points = self.inside & ((self.data & 0xC0) != 0x80)
@@ -178,7 +180,7 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text and quality of at most so many labelled documents, those of the lowest hashes."""
+    """doc_id, text and quality of at most so many labelled documents, those of the lowest hashes; of rows with one doc_id the text of the lowest hash."""
     some = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy("doc_id")
@@ -187,11 +189,12 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .limit(rows)
     )
     some = some.withColumnRenamed("doc_id", "labelled_id")  # at most `rows` rows: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "quality")
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float, float] | None:
     """Weights, scale and shift. Reads every document, learns from at most train_rows of them, in one task."""
+    common.small_batches(docs.sparkSession)
     sample = labelled(docs, labels, train_rows).repartition(1).sortWithinPartitions("doc_id").select("text", "quality")
     got = sample.mapInArrow(lambda rows: common.released(fit(rows)), "weights binary, a double, b double").collect()
     return (np.frombuffer(got[0].weights, np.float32), got[0].a, got[0].b) if got else None
@@ -200,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, least_good: float = LEAST_GOOD) -> DataFrame:
     """docs with the counts of STATS, base_failed, good (the calibrated chance; null without a model) and kept."""
 
+    common.small_batches(docs.sparkSession)
     docs = common.apart(docs, (*STATS, "base_failed", "good", "kept"))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
