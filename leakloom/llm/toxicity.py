@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are first read as classes: insult (with a weight), threat, target (persons spoken to or of), negation, reported speech, other.
-Over each clause runs the composition of four transducers, built once as one table of states:
+Over each clause runs the composition of five transducers, built once as one table of states:
 
 * `reported` passes insults and threats on as quoted ones after a word of reporting or a quotation mark;
 * `negated` passes them on as denied ones for REACH words after a negation;
-* `targeted` marks a clause that names a person;
-* `insult and threat` add up the weights of what matched, by kind.
+* `insult`, `threat` and `target` pass all on; their final states say whether the clause has an insult or a threat of any
+  kind, and whether it names a person. Only clauses that end in an accepting state of one of the first two match.
+
+The weight of an arc that gives an insult or a threat is its word's weight; a matched clause has the sums by kind.
 
 A document's features are sums over its matched clauses by kind, never over words alone, and a logistic regression turns them into a
 score. What is learnt, from at most `train_rows` labelled rows with crc32(doc_id) % 4 <> 2: the insult lexicon (whole words and stems, that
@@ -14,7 +16,7 @@ is word beginnings, by the lower bound of the share of toxic ones among document
 that copies of one text do not make its words insults), and the regression. A seed lexicon keeps the grammar of use without labels.
 
 Scores depend on the text alone. Defined results: a null or empty text, and any without a matched clause, gets the regression's base
-score. A doc_id labelled twice is toxic if one label says so; null labels are passed over. Without labels of both classes fixed weights
+score; texts of any length are read whole, and an empty table gives an empty one. A doc_id labelled twice is toxic if one label says so; null labels are passed over. Without labels of both classes fixed weights
 score the seeds. Rows are scored each by itself; other columns of the input stay, one named score as score_in.
 """
 
@@ -33,8 +35,6 @@ from pyspark.sql.types import StructType
 from leakloom.llm import common
 
 TRAIN_ROWS = 20_000
-#: The largest lexicon that is learnt, by weight.
-MOST_TERMS = 4_000
 LEAST_DOCS = 6
 LEAST_SHARE = 0.6
 LEAST_NEIGHBOURS = 5
@@ -43,14 +43,15 @@ REACH = 3
 THRESHOLD = 0.3
 SEED_WEIGHT = 3.0
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"«»„“”]")
+#: Words, and negated verbs with their apostrophe.
+TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W_])|[^\W\d_]+|[.!?;:\n\"«»„“”]")
 ENDS = frozenset(".!?;\n")
 QUOTES = frozenset("\"«»„“”")
 
 INSULTS = "idiot idiots moron morons stupid dumb fool fools loser losers scum trash clown worthless pathetic disgusting vermin imbecile coward filthy ugly dummkopf trottel arschloch abschaum versager idiota imbécil estúpido estúpida basura crétin abruti ordure minable débile".split()
 THREATS = "kill killing murder hurt destroy die strangle beat shoot stab burn töten umbringen vernichten schlagen sterben tuer frapper mourir détruire matar golpear morir destruir".split()
 TARGETS = "you your yours u he she him her they them du dich dir dein deine sie ihr euch tu te toi ton ta vous votre il elle ils usted ustedes tú ti él ella ellos".split()
-NEGATIONS = "not no never nobody neither nor without isn't aren't don't nicht kein keine nie niemals pas jamais aucun sans nunca ni sin tampoco".split()
+NEGATIONS = "not no never nobody neither nor without nicht kein keine nie niemals pas jamais aucun sans nunca ni sin tampoco".split()
 REPORTS = "said says say told called quoted reported wrote according allegedly sagte sagt nannte laut dit disait selon dijo dice llamó según".split()
 
 #: What the grammar gives for a matched word: quoted and denied ones are kept apart, and the regression weighs them.
@@ -69,8 +70,8 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, symbol))
 
 
-def composed(parts: list[Transducer], alphabet: tuple[str, ...]) -> tuple[dict[tuple[int, str], tuple[int, str]], int]:
-    """One table for the chain of parts: the states that can be reached, numbered from the start state 0."""
+def composed(parts: list[Transducer], alphabet: tuple[str, ...]) -> tuple[dict[tuple[int, str], tuple[int, str]], list[tuple[int, ...]]]:
+    """One table for the chain of parts, and its states (those that can be reached, numbered from the start state 0) by those of the parts."""
     start = tuple(p.start for p in parts)
     numbers, queue, table = {start: 0}, [start], {}
     while queue:
@@ -84,10 +85,10 @@ def composed(parts: list[Transducer], alphabet: tuple[str, ...]) -> tuple[dict[t
                 numbers[after] = len(numbers)
                 queue.append(after)
             table[numbers[state], symbol] = numbers[after], out
-    return table, len(numbers)
+    return table, list(numbers)
 
 
-def grammar() -> dict[tuple[int, str], tuple[int, str]]:
+def grammar() -> tuple[dict[tuple[int, str], tuple[int, str]], list[tuple[int, ...]]]:
     """Symbols: i insult, t threat, g target, n negation, r report, o other. Out: i, t, plain; d, e denied; q, u quoted."""
     reported = Transducer(0, {(0, "r"): (1, "o"), (1, "r"): (1, "o"), (1, "i"): (1, "q"), (1, "t"): (1, "u")})
     arcs: dict[tuple[int, str], tuple[int, str]] = {}
@@ -97,7 +98,8 @@ def grammar() -> dict[tuple[int, str], tuple[int, str]]:
             for symbol in "iotgqu":
                 arcs[left, symbol] = (left - 1, {"i": "d", "t": "e"}.get(symbol, symbol))
     negated = Transducer(0, arcs)
-    return composed([reported, negated], ("i", "t", "g", "n", "r", "o"))[0]
+    seen = [Transducer(0, {(0, symbol): (1, symbol) for symbol in symbols}) for symbols in ("idq", "teu", "g")]
+    return composed([reported, negated, *seen], ("i", "t", "g", "n", "r", "o"))
 
 
 _OUT = {"i": 0, "d": 1, "q": 2, "t": 3, "e": 4, "u": 5}
@@ -105,7 +107,9 @@ _OUT = {"i": 0, "d": 1, "q": 2, "t": 3, "e": 4, "u": 5}
 
 class Grammar:
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
-        self.table = grammar()
+        self.table, states = grammar()
+        self.matches = [bool(x[2] or x[3]) for x in states]
+        self.targeted = [bool(x[4]) for x in states]
         self.words: dict[str, tuple[str, float]] = {}
         for symbol, words in (("g", TARGETS), ("n", NEGATIONS), ("r", REPORTS), ("t", THREATS), ("i", INSULTS)):
             self.words |= {w: (symbol, SEED_WEIGHT) for w in words}
@@ -116,6 +120,8 @@ class Grammar:
     def read(self, word: str) -> tuple[str, float]:
         if word in self.words:
             return self.words[word]
+        if word.endswith(("n't", "n’t")):
+            return "n", 0.0
         best = max((self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n), default=0.0)
         return ("i", best) if best else ("r", 0.0) if word in QUOTES else ("o", 0.0)
 
@@ -133,15 +139,16 @@ class Grammar:
             start = at + 1
             if not any(known.get(w, "o")[0] in "it" for w in clause):
                 continue
-            sums, state, target = np.zeros(6), 0, False
+            sums, state = np.zeros(6), 0
             for word in clause:
                 symbol, weight = known.get(word) or self.read(word)
                 state, got = self.table[state, symbol]
-                target |= got == "g"
                 if got in _OUT:
                     sums[_OUT[got]] += weight
+            if not self.matches[state]:
+                continue
             out[:6] += sums
-            if target:
+            if self.targeted[state]:
                 out[6] += sums[:3].sum()
                 out[7] += sums[3:].sum()
             out[8] += 1
@@ -151,7 +158,7 @@ class Grammar:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """text and toxic of at most so many labelled documents, none held out, those of the lowest hashes."""
+    """text and toxic of at most so many labelled documents, none held out, those of the lowest hashes; of rows with one doc_id the text of the lowest hash."""
     some = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
@@ -161,11 +168,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
         .limit(rows)
         .withColumnRenamed("doc_id", "labelled_id")
     )  # at most `rows` rows: a proven bound
-    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
+    return docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
-def lexicon(rows: DataFrame, most: int = MOST_TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """Weights of words and of stems (log odds): found in enough documents, mostly toxic ones, beside various neighbours."""
+def lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights of words and of stems (log odds): found in enough documents, mostly toxic ones, beside various neighbours. All of
+    them: each stands in LEAST_DOCS of the bounded rows at least."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -206,7 +214,7 @@ def lexicon(rows: DataFrame, most: int = MOST_TERMS) -> tuple[dict[str, float],
     low = (p + zz / (2 * n) - F.sqrt(zz * (p * (1 - p) + zz / (4 * n)) / n)) / (1 + zz / n)
     sums = sums.where((F.col("toxic") >= LEAST_DOCS) & (F.bit_count("near") >= LEAST_NEIGHBOURS)).withColumn("low", low).where(F.col("low") >= LEAST_SHARE)
     weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    got = sums.select("term", weight.alias("weight"), "low").orderBy(F.desc("low"), "term").limit(most).collect()
+    got = sums.select("term", weight.alias("weight"), "low").collect()
     words = {r.term[1:]: r.weight for r in got if r.term[0] == "w"}
     stems = {r.term[1:]: r.weight for r in got if r.term[0] == "s"}
     return words, stems
@@ -235,6 +243,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    common.small_batches(docs.sparkSession)
     rows = common.written(training_rows(docs, labels, train_rows))
     words, stems = lexicon(rows)
 
@@ -269,7 +278,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("score", "double"))
+    common.small_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda rows: common.released(run(rows)), StructType(list(docs.schema.fields)).add("score", "double"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

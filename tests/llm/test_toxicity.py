@@ -12,8 +12,8 @@ def features(text, terms=None):
 def test_composed_table_equals_the_chain():
     reported = toxicity.Transducer(0, {(0, "r"): (1, "o"), (1, "r"): (1, "o"), (1, "i"): (1, "q")})
     denied = toxicity.Transducer(0, {(0, "n"): (1, "o"), (1, "i"): (0, "d"), (1, "q"): (0, "q")})
-    table, n = toxicity.composed([reported, denied], ("i", "n", "r", "o"))
-    assert n == 4
+    table, states = toxicity.composed([reported, denied], ("i", "n", "r", "o"))
+    assert sorted(states) == [(0, 0), (0, 1), (1, 0), (1, 1)]
     rng = np.random.default_rng(1)
     for _ in range(50):
         state, one, two = 0, 0, 0
@@ -31,6 +31,10 @@ def test_clauses_not_words():
     assert denied["insult"] == 0 and denied["denied insult"] > 0
     assert quoted["insult"] == 0 and quoted["quoted insult"] > 0
     assert features("an idiot.")["targeted insult"] == 0
+    for verb in ("aren't", "isn’t", "DON'T"):
+        apart = features(f"you {verb} an idiot")
+        assert apart["insult"] == 0 and apart["denied insult"] > 0
+    assert features("l'idiot")["insult"] > 0
     assert features("you. an idiot.")["targeted insult"] == 0  # another clause
     assert features("I will kill you")["targeted threat"] > 0
     assert features("idiot, " * 3 + "x. idiot")["clauses"] > features("idiot")["clauses"]
