@@ -7,17 +7,22 @@ further than that past its end. It stops at the first boundary behind the edit w
 nothing before a match, so from there on all is as it was. Only these pre-tokens are encoded anew, and only the sums above their leaves change.
 A leaf that has grown beyond 4 x LEAF is split by building the tree anew from the counts it has; no text is encoded for that.
 
+`trees` makes what is kept of each document: the lengths and token counts of its pre-tokens, from which its tree is put up without
+encoding anything. `edited` works on such a table, so a text is encoded once and then only where edits touch it.
+
 Tokens are counted by the given rank file, each match of the split pattern by itself, without special tokens.
 
-Defined results: a null text is empty; an empty one has no tokens. Edits out of range are clipped to the text. `edited`
-judges each row by itself, whatever its doc_id, and keeps the other columns, one that is named like a result as `<name>_in`. A null list of edits is an empty one.
+Defined results: a null text is empty; an empty one has no tokens. Edits out of range are clipped to the text. Texts of any
+length are taken whole, an empty table gives an empty one; each row is judged by itself, whatever its doc_id. Both keep the other columns, one that is named like a result as `<name>_in`. A null list of edits is an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,11 +76,17 @@ def counter(file: bytes, pattern: str) -> Counter:
 
 
 class Tree:
-    def __init__(self, text: str, own: Counter):
+    def __init__(self, text: str, own: Counter, kept: tuple[list[int], list[int]] | None = None):
+        """kept: lengths and token counts of the text's pre-tokens; without it they are read and encoded."""
         self.own = own
         self.encoded = 0  # pre-tokens encoded since the tree was built
-        words = own.pattern.findall(text)
-        self._build(words, own.counts(words))
+        if kept is None:
+            words = own.pattern.findall(text)
+            counts = own.counts(words)
+        else:
+            ends = list(itertools.accumulate(kept[0], initial=0))
+            words, counts = [text[a:b] for a, b in itertools.pairwise(ends)], list(kept[1])
+        self._build(words, counts)
 
     def _build(self, words: list[str], counts: list[int]) -> None:
         self.leaves = [(words[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(words), LEAF)] or [([], [])]
@@ -183,17 +194,36 @@ class Tree:
 EDIT = "array<struct<start:int,end:int,text:string>>"
 
 
-def edited(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
-    """docs, which has a column of edits (EDIT), with n_tokens, n_pretokens, n_tokens_after and n_encoded (pre-tokens that the edits encoded)."""
+def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with word_chars and word_tokens (binary, int32 of each pre-token): what `edited` needs of a text besides the text."""
     file = bpe.given(docs.sparkSession, path)
-    docs = common.apart(docs, ("n_tokens", "n_pretokens", "n_tokens_after", "n_encoded"))[0]
+    common.small_batches(docs.sparkSession)
+    docs = common.apart(docs, ("word_chars", "word_tokens"))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(file.value, pattern)
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                split = [own.pattern.findall(t or "") for t in part.column("text").to_pylist()]
+                chars = [np.fromiter(map(len, words), np.int32, len(words)).tobytes() for words in split]
+                tokens = [np.array(own.counts(words), np.int32).tobytes() for words in split]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chars, pa.binary()), pa.array(tokens, pa.binary())], names=[*part.schema.names, "word_chars", "word_tokens"])
+
+    return docs.mapInArrow(lambda rows: common.released(run(rows)), bpe.added(docs, ("word_chars", "binary"), ("word_tokens", "binary")))
+
+
+def edited(kept: DataFrame, path: str, pattern: str, edits: str = "edits") -> DataFrame:
+    """kept, which `trees` made and which has a column of edits (EDIT), with n_tokens, n_pretokens, n_tokens_after and n_encoded (pre-tokens that the edits encoded)."""
+    file = bpe.given(kept.sparkSession, path)
+    common.small_batches(kept.sparkSession)
+    kept = common.apart(kept, ("n_tokens", "n_pretokens", "n_tokens_after", "n_encoded"))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(file.value, pattern)
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            for text, todo in zip(batch.column("text"), batch.column(edits), strict=True):
-                tree = Tree(text.as_py() or "", own)
+            for text, todo, *known in zip(*(batch.column(x) for x in ("text", edits, "word_chars", "word_tokens")), strict=True):
+                tree = Tree(text.as_py() or "", own, tuple(np.frombuffer(x.as_buffer(), np.int32).tolist() for x in known))
                 n, words = tree.total, sum(len(w) for w, _ in tree.leaves)
                 for x in todo.as_py() or []:
                     tree.edit(x["start"], x["end"], x["text"] or "")
@@ -201,7 +231,7 @@ def edited(docs: DataFrame, path: str, pattern: str, edits: str = "edits") -> Da
             names = ["n_tokens", "n_pretokens", "n_tokens_after", "n_encoded"]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in zip(*out, strict=True))] if out else [*batch.columns, *[pa.array([], pa.int64())] * 4], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, bpe.added(docs, ("n_tokens", "long"), ("n_pretokens", "long"), ("n_tokens_after", "long"), ("n_encoded", "long")))
+    return kept.mapInArrow(lambda rows: common.released(run(rows)), bpe.added(kept, ("n_tokens", "long"), ("n_pretokens", "long"), ("n_tokens_after", "long"), ("n_encoded", "long")))
 
 
 def three_edits(text: str = "text") -> Column:
@@ -215,5 +245,6 @@ def three_edits(text: str = "text") -> Column:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", three_edits())
-    return edited(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).drop("text", "edits")
+    model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    kept = common.written(trees(common.table(spark, sf_dir, "documents").select("doc_id", "text"), *model))
+    return edited(kept.withColumn("edits", three_edits()), *model).drop("text", "edits", "word_chars", "word_tokens")

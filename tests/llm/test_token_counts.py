@@ -41,7 +41,7 @@ def test_an_edit_encodes_little():
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (2, "", 7), (3, "abc " * 50_000, None), (None, "Hello there, world", 1)], "doc_id long, text string, n_tokens int")
     docs = docs.withColumn("edits", token_counts.three_edits())
-    got = token_counts.edited(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    got = token_counts.edited(token_counts.trees(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert got.columns[:4] == ["doc_id", "text", "n_tokens_in", "edits"]
     rows = got.collect()
     for r in rows:
@@ -53,6 +53,6 @@ def test_rows(spark):
             text = text[:a] + e.text + text[b:]
         assert r.n_tokens_after == whole(text)
     assert len(rows) == 5 and bpe is not None
-    assert token_counts.edited(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+    assert token_counts.edited(token_counts.trees(docs.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
     none = docs.limit(1).withColumn("edits", docs.edits.isNull().cast("string").cast("int").cast("string")).drop("edits").selectExpr("*", f"cast(null as {token_counts.EDIT}) as edits")
-    assert token_counts.edited(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first().n_encoded == 0
+    assert token_counts.edited(token_counts.trees(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).first().n_encoded == 0
