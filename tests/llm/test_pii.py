@@ -75,6 +75,25 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert not any(r.added for r in pii.scanned(few).collect())
 
 
+def test_identifiers_with_spaces_and_at_the_beginning(spark):
+    rows = [(i, f"call me at phone number +1 (521) 555-62{i:02d} soon") for i in range(6)] + [(i, f"Phone: +1 521 555 62{i:02d}, thanks") for i in range(10, 16)]
+    rows += [(30, "reach me at phone number (521) 555-6210 today"), (31, "I said phone number 521 555 6211."), (32, "Phone: 521 555 6212"), (33, "the sum of 521 555 6213 is"), (34, "we got phone number " + "5-" * 300 + "5")]
+    rows += [(40 + i, f"my credit card 4111 1111 1111 111{d}") for i, d in enumerate("1111")] + [(50, "a credit card 4111 1111 1111 1112 too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[s.k], s.value) for s in r.added] for r in pii.scanned(docs, support=1, least=0.3).collect()}
+    want = {30: [("phone", "(521) 555-6210")], 31: [("phone", "521 555 6211")], 32: [("phone", "521 555 6212")], 50: [("card", "4111 1111 1111 1112")]}
+    assert {k: v for k, v in got.items() if v} == want
+
+
+def test_accepted_instances_induce_patterns(spark):
+    rows = [(i, f"call at phone number +1 521 555 62{i:02d} soon") for i in range(12)]
+    rows += [(20, "call at phone number 555-0199-22 soon"), (21, "my fax line 555-0199-22 is"), (22, "her fax line 555-0200-33 is"), (23, "see part no 555-0300-44 there")]
+    rows += [(30 + i, f"old fax line +1 521 555 63{i:02d}") for i in range(1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.added] for r in pii.scanned(docs, support=2, least=0.4).collect()}
+    assert {k: v for k, v in got.items() if v} == {20: ["555-0199-22"], 21: ["555-0199-22"], 22: ["555-0200-33"]}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a@b.c", "x", "y", "z")], "doc_id long, text string, row string, base string, score string")
     assert len(pii.scanned(docs).collect()) == 1
