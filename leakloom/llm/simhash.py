@@ -14,8 +14,9 @@ cut into blocks, and each pair of blocks is such a task: memory is bounded, no f
 with the bucket. The edges' components are found by star rounds over Spark tables.
 
 Fingerprints: see `fingerprints`. Defined results: a null or empty text has fingerprint zero, and links as any other. A null
-doc_id is left out of components (its component_id is null); rows with equal doc_id get the least component of their
-fingerprints' own: each row has that of its own fingerprint. Other columns of the input stay in `kept`, whatever their names.
+doc_id is left out of components (its component_id is null); rows with equal doc_id are each judged by their own fingerprint.
+Very long texts are read whole, repeated rows get equal results, and an empty table gives an empty one. Other columns of
+the input stay in `kept`, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,6 +123,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, column: str = "fp") -> Dat
                 prints = np.array([fingerprint(t.as_py(), words) for t in part.column("text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(prints)], names=[*part.schema.names, column])
 
+    common.small_batches(docs.sparkSession)
     return docs.mapInArrow(lambda rows: common.released(run(rows)), StructType(list(docs.schema.fields)).add(column, "long"))
 
 
@@ -178,6 +180,9 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, *names: str) -> Iterator
 
 def links(prints: DataFrame, bits: int = BITS, size: int = BLOCK) -> DataFrame:
     """(a, b): edges that connect the distinct fingerprints fp just as all links of up to `bits` differing bits do."""
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"bits must be from 0 to {BITS}: for more the keys would miss links")
+    common.small_batches(prints.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,26 +259,34 @@ def links(prints: DataFrame, bits: int = BITS, size: int = BLOCK) -> DataFrame:
     return found.where("key is null").select("a", "b").union(spread.mapInArrow(compare_blocks, EDGES).select("a", "b")).distinct()
 
 
-def linked(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """A row for each of docs: doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id that can be reached by links)."""
-    ids = common.written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"))
-    prints = common.written(ids.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def owners(rows: DataFrame, bits: int = BITS, column: str = "fp") -> DataFrame:
+    """_fp, root and component_id (the least doc_id that can be reached by links) for each fingerprint of rows (doc_id, fp)."""
+    prints = common.written(rows.groupBy(F.col(column).alias("fp")).agg(F.min("doc_id").alias("least")))
     roots = components.least_reachable(links(prints, bits))
     whole = prints.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     least = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    own = whole.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return ids.join(own, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return whole.join(least, "root").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
+
+
+def linked(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """A row for each of docs: doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id that can be reached by links)."""
+    ids = common.written(fingerprints(docs.select("doc_id", "text"), words).select("doc_id", "fp"))
+    own = owners(ids, bits)
+    return ids.join(own, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("_component")).alias("component_id"))
 
 
 def kept(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row of docs for each component: that of the least doc_id, and of rows with equal doc_id the one of the lowest
-    text hash. Rows with a null doc_id stay."""
-    stay = linked(docs, words, bits).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(stay, "doc_id", "left_semi")
-    # rows of equal ids and texts: the first by their other columns
+    """One row of docs for each component: one of the least doc_id in it, of several such the one of the lowest text hash,
+    then the first by all columns. Rows with a null doc_id stay."""
+    name = "_fp"
+    while name in docs.columns:
+        name += "_"
+    rows = common.written(fingerprints(docs.where("doc_id is not null"), words, name))
+    own = owners(rows.select("doc_id", name), bits, name).toDF("_fp0", "_root", "_component")
+    first = rows.join(own, [F.col(name) == F.col("_fp0"), F.col("doc_id") == F.col("_component")])
     order = F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    first = one.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return first.union(docs.where("doc_id is null"))
+    one = first.groupBy("_root").agg(F.min_by(F.struct(*(rows[c] for c in docs.columns)), order).alias("_row")).select("_row.*")
+    return one.toDF(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
