@@ -10,13 +10,14 @@ candidate starts (its positions less its offset), and the offset-adjusted lists
 intersected with them. What is left are exact phrase matches. With `near`, further columns count items that have a window (those
 that begin at multiples of `window`) whose words all lie, in any order, within `near` words around a place of its rarest.
 
-Benchmark windows go to the executors in blocks of at most WINDOWS_AT_ONCE, a bound on what is broadcast; each block is
-another pass over the index, which then is written first. A benchmark of any size is so searched in full.
+The index is written to the shared folder. Benchmark windows go to the executors in blocks of at most WINDOWS_AT_ONCE, a
+bound on what is broadcast; each block is another pass over the index. A benchmark of any size is so searched in full.
 
 Words: A-Z in lower case, then maximal runs of ASCII letters and digits and of any characters beyond ASCII. Defined results:
 null and empty texts have no words and no hits; an item without words is in no document; an item of fewer words than
 `window` is one window; equal windows of different items count for each. An item whose id is null is left out. Rows with
-equal doc_id are each judged by themselves. Terms are told apart by 64-bit hashes, and a match needs all of a window's in order.
+equal doc_id are each judged by themselves. Very long texts are searched whole, and an empty table gives an empty one; doc_id and
+item_id must be integers, or text that can be cast to them. Terms are told apart by 64-bit hashes, and a match needs all of a window's in order.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from leakloom.llm import common
 WINDOW = 10
 SEGMENT_WORDS = 400_000
 WINDOWS_AT_ONCE = 200_000
+#: Words around a place of its rarest word within which op8 looks for all of an item's.
+NEAR = 20
 
 INSIDE = np.zeros(256, bool)
 INSIDE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
@@ -87,7 +90,8 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         if ids:
             yield segment(ids, words, counts)
 
-    return docs.select(id_column, text_column).mapInArrow(run, INDEX).withColumn("segment", F.monotonically_increasing_id())
+    common.small_batches(docs.sparkSession)
+    return docs.select(id_column, text_column).mapInArrow(lambda rows: common.released(run(rows)), INDEX).withColumn("segment", F.monotonically_increasing_id())
 
 
 class Windows:
@@ -240,14 +244,13 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: in
     """A row for each row of docs: doc_id, n_words, spans (array of first and last word of each hit stretch), n_hit, items
     (of the benchmark, with an exact match), near_items (with a match in any order; empty unless `near` is given)."""
     blocks = blocks_of(benchmark, window, near, at_once)
-    found = [next(blocks, None) or Windows([], near)]
+    first = next(blocks, None) or Windows([], near)
     more = next(blocks, None)
-    index = build_index(docs)
+    index = common.written(build_index(docs))
     if more is None:
-        got = search_block(index, found[0])
+        got = search_block(index, first)
     else:
-        index = common.written(index)
-        parts = [common.written(search_block(index, block)) for block in itertools.chain(found, [more], blocks)]
+        parts = [common.written(search_block(index, block)) for block in itertools.chain([first, more], blocks)]
         got = parts[0]
         for part in parts[1:]:
             got = got.union(part)
@@ -267,12 +270,14 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: in
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any exact match. A doc_id with a match goes with all its rows; rows without a doc_id stay."""
-    hit = search(docs.where("doc_id is not null"), benchmark, window).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without any exact match, each judged by its text alone, whatever its doc_id."""
+    key = F.xxhash64("text")
+    hit = search(docs.where("text is not null").select(key.alias("doc_id"), "text"), benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(hit, key == F.col("_key"), "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    """With n_near_items: items all of whose words of a window stand, in any order, within NEAR words of its rarest."""
+    found = search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), near=NEAR)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))

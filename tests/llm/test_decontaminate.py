@@ -81,6 +81,6 @@ def test_clean_and_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, items string, segment int")
     bench = spark.createDataFrame([(5, "q " * 12)], "item_id long, text string")
     out = decontaminate.clean(docs, bench)
-    assert out.columns == docs.columns and sorted((r.doc_id or -1, r["items"]) for r in out.collect()) == [(-1, "c"), (2, None), (3, "d")]
+    assert out.columns == docs.columns and sorted((r.doc_id or -1, r["items"]) for r in out.collect()) == [(1, "b"), (2, None), (3, "d")]  # each row by its own text
     assert decontaminate.clean(docs, bench.limit(0)).count() == 5
     assert decontaminate.search(docs.limit(0), bench).count() == 0
