@@ -22,6 +22,13 @@ def brute(files, least=licenses.LEAST):
             units.append((no, -1, text))
         if KEY.search(text):
             units += [(no, i, x) for i, x in enumerate(re.split(r"\n|(?<=[.;])\s+", text)) if KEY.search(x)]
+            run, place = [], -2
+            for x in [*re.split(r"\n[ \t\r]*\n\s*", text), ""]:
+                if KEY.search(x):
+                    run.append(x)
+                elif run:
+                    units.append((no, place, "\n".join(run)))
+                    run, place = [], place - 1
     bags = [(no, place, Counter(TERM.findall(text.lower()))) for no, place, text in units]
     df = Counter(t for _, _, bag in bags for t in bag)
 
@@ -74,6 +81,26 @@ FILES = [
 ]
 
 
+def body(name):
+    """A licence body without a title: words of the template in lines and paragraphs, with common words between them."""
+    words = licenses.WHOLE[name].split()
+    lines = [" ".join(words[i : i + 7]) + " and the of this" for i in range(0, len(words), 7)]
+    return f"code()\n\n/* copyright 2020 someone */\n{lines[0]}\n\nwithout warranty of any kind\n" + "\n".join(lines[1:]) + "\n\nmore code"
+
+
+def test_bodies_without_titles(spark):
+    files = [(f"{name}/{kind}", body(name) if kind != "empty.txt" else "") for name in licenses.WHOLE for kind in ("x.py", "empty.txt", "LICENSE")]
+    got = licenses.scanned(spark.createDataFrame([(i, *x) for i, x in enumerate(files)], "i int, path string, text string")).collect()
+    assert [(r.license, r.found, r.origin) for r in sorted(got, key=lambda r: r.i)] == brute(files)
+    assert all(r.license == r.path.split("/")[0] for r in got), [(r.path, r.license, r.score) for r in got]
+
+
+def test_common_and_rare_terms(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "COMMON", 0.02)  # some terms in each of the two joins
+    got = licenses.scanned(spark.createDataFrame([(i, *x) for i, x in enumerate(FILES)], "i int, path string, text string")).collect()
+    assert [(r.license, r.found, r.origin) for r in sorted(got, key=lambda r: r.i)] == brute(FILES)
+
+
 def test_matches_brute_force(spark):
     got = licenses.scanned(spark.createDataFrame([(i, *x) for i, x in enumerate(FILES)], "i int, path string, text string")).collect()
     want = brute(FILES)
