@@ -1,25 +1,43 @@
 import hashlib
+import random
 
 from conftest import DATA
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from leakloom.llm import chat, common
 
-HARD = st.text(max_size=20) | st.text("[]/<>\\s assistant los", max_size=40) | st.sampled_from(["[loss]", "[/loss]", "</s><s>", "[/assistant]", "\\[", "\\", "]", "[INST] ok [/INST]", "\n"])
+HARD = ["[loss]", "[/loss]", "</s><s>", "[/assistant]", "\\[", "\\b", "\\", "]", "[INST] ok [/INST]", "\n", "", "assistant", "[user]a[/user]", "\\o\\\\c", "é🙂"]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.tuples(HARD | st.just("assistant"), HARD), min_size=1, max_size=6))
-def test_examples_read_back(turns):
-    examples = list(chat.examples_of(turns))
-    replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
-    assert [t for t, _ in examples if t is not None] == replies
-    for target, text in examples:
-        got = chat.parsed(text)
-        assert [(r, t) for r, t, _ in got] == (turns[: target + 1] if target is not None else turns)
-        assert [i for i, x in enumerate(got) if x[2]] == ([target] if target is not None else [])
-    assert chat.parsed(examples[-1][1])[-1][:2] == turns[-1]
+def test_examples_read_back(spark):
+    rng = random.Random(1)
+    convs = {}
+    for conv in range(300):
+        roles = [rng.choice(["assistant", "assistant", "user", rng.choice(HARD)]) for _ in range(rng.randint(1, 12))]
+        convs[conv] = [(r, "".join(rng.choices(HARD, k=rng.randint(0, 4)))) for r in roles]
+    rows = [(c, i, *t) for c, turns in convs.items() for i, t in enumerate(turns)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (1, 2, 5, 128):
+        got = {}
+        for r in chat.formatted(table, block).collect():
+            got.setdefault(r.conv_id, []).append((r.example, r.target, r.formatted))
+        for conv, turns in convs.items():
+            examples = sorted(got[conv])
+            replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+            assert [n for n, _, _ in examples] == list(range(len(examples)))
+            assert [t for _, t, _ in examples if t is not None] == replies
+            assert len(examples) == len(replies) + (turns[-1][0] != "assistant")
+            for _, target, text in examples:
+                read = chat.parsed(text)
+                assert [(r, t) for r, t, _ in read] == (turns[: target + 1] if target is not None else turns)
+                assert [i for i, x in enumerate(read) if x[2]] == ([target] if target is not None else [])
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} [x]" * 5) for i in range(1200)] + [(2, 0, "user", "y")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digests(chat.formatted(table)).collect()}
+    assert got == brute(rows)
 
 
 def brute(rows):
