@@ -75,12 +75,12 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_findings(spark, sf_dir).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("path").alias("n_files"))
 
 
-CUSTOM = (R.Rule("Planted token", 'token = "([0-9a-f]{40})"', "Low", "netrc", "true", ("token",), builtin=False),)
+CUSTOM = (R.own("Planted token", 'token = "([0-9a-f]{40})"', "Low", ("token",)),)
 
 
 def custom_rule_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.candidates(document_lines(spark, sf_dir), CUSTOM)
-    return found.selectExpr("file_id", "line", "CAST(end - octet_length(secret) AS BIGINT) AS start_column", "CAST(end - 1 AS BIGINT) AS end_column", "sha2(secret, 256) AS value_sha256")
+    found = detect.findings(document_lines(spark, sf_dir), CUSTOM, with_entropy=False)
+    return found.selectExpr("file_id", "line", "CAST(start_column AS BIGINT) AS start_column", "CAST(end_column AS BIGINT) AS end_column", "sha2(value, 256) AS value_sha256")
 
 
 def entropy_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,16 +26,18 @@ def running_before(numbers: str) -> str:
     return bound(numbers, "ns", bound(pieces, "ps", f"flatten(zip_with(ps, {starts}, (p, start) -> {fold('p', 'start')}))"))
 
 
-def matches(text: str, pattern: str, secret: int, more: str = "", key: int | None = None) -> str:
-    """All leftmost matches as structs: start, end (bytes of the match), whole, secret (a group), key, before (up to 80 characters), after (one)."""
+def matches(text: str, pattern: str, secret: int, more: str = "", key: int | None = None, lead: int | None = None) -> str:
+    """All leftmost matches as structs: start, end (bytes of the match), at (where the secret begins: after the group `lead`, else so that it
+    ends with the match), whole, secret (a group), key, before (all since the match before it, and that), after (one)."""
     re = literal(pattern)
+    key = key if lead is None else lead
     names = f"regexp_extract_all({text}, {re}, {key})" if key is not None else "CAST(array() AS ARRAY<STRING>)"
     rows = f"arrays_zip(regexp_extract_all({text}, {re}, 0), regexp_extract_all({text}, {re}, {secret}), {names}, split({text}, {re}, -1))"  # fields 0 to 3
     w, s, k, p = "`0`", "`1`", "`2`", "`3`"
     at = running_before(f"transform(ms, m -> octet_length(m.{p}) + coalesce(octet_length(m.{w}), 0))")
     own = (
-        f"struct(at + octet_length(m.{p}) AS start, at + octet_length(m.{p}) + octet_length(m.{w}) AS end, m.{w} AS whole, m.{s} AS secret, coalesce(m.{k}, '') AS key,"
-        f" right(concat(coalesce(get(ms, m_no - 1).{w}, ''), m.{p}), 80) AS before, left(concat(coalesce(get(ms, m_no + 1).{p}, ''), coalesce(get(ms, m_no + 1).{w}, '')), 1) AS after{more})"
+        f"struct(at + octet_length(m.{p}) AS start, at + octet_length(m.{p}) + octet_length(m.{w}) AS end, {'at + octet_length(m.' + p + ') + octet_length(m.' + k + ')' if lead is not None else f'at + octet_length(m.{p}) + octet_length(m.{w}) - octet_length(m.{s})'} AS at,"
+        f" m.{w} AS whole, m.{s} AS secret, coalesce(m.{k}, '') AS key, concat(coalesce(get(ms, m_no - 1).{w}, ''), m.{p}) AS before, left(concat(coalesce(get(ms, m_no + 1).{p}, ''), coalesce(get(ms, m_no + 1).{w}, '')), 1) AS after{more})"
     )
     numbered = "transform(ms, (m, i) -> struct(m AS m, i AS i))"
     found = f"zip_with({numbered}, {at}, (x, at) -> {bound('x.m', 'm', bound('x.i', 'm_no', own))})"

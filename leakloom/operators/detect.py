@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakloom.functions import constants
-from leakloom.functions.sqltext import entropy, extension, literal, matches, one_of
+from leakloom.functions.sqltext import basename, entropy, extension, literal, matches, one_of
 from leakloom.operators import rules as R
 
 FINDING = ("file_id", "path", "line", "rule", "severity", "start_column", "end_column", "value")
@@ -18,10 +18,10 @@ def candidates(lines: DataFrame, rules: tuple[R.Rule, ...] = R.BUILTIN) -> DataF
     parts = []
     for no, rule in enumerate(rules):
         secret, key = rule.groups
-        found = matches("text", rule.pattern, secret, f", {no} AS rule_no", key)
-        guard = " OR ".join(f"contains(lowered, {literal(x)})" for x in rule.needs) or "true"
+        found = matches("text", rule.pattern, secret, f", {no} AS rule_no", key, 1 if rule.kind == "group" else None)
+        guard = " OR ".join(f"contains(lowered, {literal(x.lower())})" for x in rule.needs) or "true"
         parts.append(f"CASE WHEN {guard} THEN {found} ELSE array() END")
-    some = sorted({x for rule in rules for x in rule.needs})
+    some = sorted({x.lower() for rule in rules for x in rule.needs})
     any_of = " OR ".join(f"contains(lowered, {literal(x)})" for x in some) if all(r.needs for r in rules) else "true"
     out = lines.selectExpr("file_id", "path", "line", "text", "lower(text) AS lowered").where(any_of)
     return out.select("file_id", "path", "line", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("m")).select("file_id", "path", "line", "m.*")
@@ -34,14 +34,14 @@ def matched(lines: DataFrame, rules: tuple[R.Rule, ...] = R.BUILTIN) -> DataFram
     inner = f"regexp_extract(v1, {literal(R.SHELL_DEFAULT)}, 1)"
     found = found.selectExpr("*", f"v1 RLIKE {literal(R.SHELL_DEFAULT)} AS shell", f"{inner} AS v2")
     found = found.selectExpr("*", f"CASE WHEN shell THEN {R.unquoted('v2')} ELSE v1 END AS value", f"q1 OR (shell AND v2 RLIKE {literal(R.QUOTED)}) AS quoted")
-    # where the value begins: the secret ends with its match
+    # where the value begins: inside quotes and the default of a variable
     left = "octet_length(v1) - 1 - octet_length(v2)"
     inside = f"CASE WHEN shell THEN {left} + CASE WHEN v2 RLIKE {literal(R.QUOTED)} THEN 1 ELSE 0 END ELSE 0 END"
-    found = found.selectExpr("*", f"end - octet_length(secret) + CASE WHEN q1 THEN 1 ELSE 0 END + {inside} AS at")
+    found = found.withColumn("at0", F.col("at")).withColumn("at", F.expr(f"at + CASE WHEN q1 THEN 1 ELSE 0 END + {inside}"))
     keyed = " ".join(f"WHEN {no} THEN {R.valid(rule)}" for no, rule in enumerate(rules))
     by_rule = lambda field: "CASE rule_no " + " ".join(f"WHEN {no} THEN {getattr(rule, field)!r}" for no, rule in enumerate(rules)) + " END"
     raw = " OR ".join(f"rule_no = {no}" for no, r in enumerate(rules) if r.kind in ("token", "plain") or not r.builtin) or "false"
-    found = found.selectExpr("file_id", "path", "line", "before", "after", "key", "extension", "rule_no", f"CASE WHEN {raw} THEN secret ELSE value END AS value", "quoted", f"CASE WHEN {raw} THEN end - octet_length(secret) ELSE at END AS at")
+    found = found.selectExpr("file_id", "path", "line", "before", "after", "key", "extension", "rule_no", f"CASE WHEN {raw} THEN secret ELSE value END AS value", "quoted", f"CASE WHEN {raw} THEN at0 ELSE at END AS at")
     found = found.where(f"CASE rule_no {keyed} END")
     builtin = "CASE rule_no " + " ".join(f"WHEN {no} THEN {str(rule.builtin).lower()}" for no, rule in enumerate(rules)) + " END"
     return found.selectExpr("file_id", "path", "line", f"{by_rule('name')} AS rule", f"{by_rule('severity')} AS severity", "at + 1 AS start_column", "at + octet_length(value) AS end_column", "value", "rule_no", f"{builtin} AS builtin")
@@ -73,7 +73,7 @@ def entropy_findings(lines: DataFrame, known: DataFrame, threshold: float = 4.8,
     """Token-like texts of high entropy that no known finding covers, that follow no checksum label and stand in no lockfile."""
     label = rf"(?i)(?<![A-Za-z0-9_])(?:{constants.CHECKSUM_LABELS.replace(' ', '|')})[\"'`]?\s*[:=]\s*[\"'`]?$"
     found = quoted_values(lines, min_length).where(f"entropy >= {threshold} AND NOT before RLIKE {literal(label)}")
-    found = found.where(f"NOT {one_of('element_at(split(path, ' + chr(39) + '/' + chr(39) + '), -1)', constants.LOCKFILES)}")
+    found = found.where(f"NOT {one_of(basename('path'), constants.LOCKFILES)}")
     spans = known.groupBy("file_id", "line").agg(F.sort_array(F.collect_list(F.struct(F.col("start_column").alias("s"), F.col("end_column").alias("e")))).alias("spans"))
     # touching spans count as one: each is joined to those that it reaches
     merged = "aggregate(spans, CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>), (done, x) -> CASE WHEN size(done) > 0 AND x.s <= element_at(done, -1).e + 1 THEN concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).s AS s, greatest(element_at(done, -1).e, x.e) AS e))) ELSE concat(done, array(x)) END)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from leakloom.functions import constants
@@ -41,9 +42,48 @@ class Rule:
 
     @property
     def groups(self) -> tuple[int, int | None]:
-        return {"keyed": (2, 1), "netrc": (1, None)}.get(self.kind, (0, None))
-
-
+        return {"keyed": (2, 1), "netrc": (1, None), "group": (2, None)}.get(self.kind, (0, None))
+
+
+def own(name: str, pattern: str, severity: str = "Medium", needs: tuple[str, ...] = ()) -> Rule:
+    """A rule with a pattern of one's own: what its group captures is reported, without a group the whole match.
+
+    The group must be the only one and stand at the top level, so that what is before it in the match can be captured too; `(?P<name>...)` is
+    taken as a group, `(?:...)` is none."""
+    pattern = pattern.replace("(?P<", "(?<")
+    opens, depth, at, flags = [], 0, 0, re.match(r"\(\?[A-Za-z]+\)", pattern)
+    start = flags.end() if flags else 0
+    at, top_bar, in_class = start, False, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            at += pattern[at + 1 : at + 3] == "^]" and 2 or pattern[at + 1 : at + 2] == "]"
+        elif c == "(":
+            if pattern[at + 1 : at + 2] != "?" or re.match(r"\(\?<[A-Za-z]", pattern[at:]):
+                opens.append((at, depth))
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if opens and depth == opens[0][1] and len(opens[0]) == 2:
+                opens[0] = (*opens[0], at)
+        elif c == "|" and depth == 0:
+            top_bar = True
+        at += 1
+    low = tuple(x.lower() for x in needs)
+    if not opens:
+        return Rule(name, pattern, severity, "plain", "true", low, builtin=False)
+    if len(opens) > 1 or opens[0][1] != 0 or top_bar:
+        raise ValueError(f"{name}: one group at most, not inside another or beside a bar")
+    a, _, b = opens[0]
+    return Rule(name, f"{pattern[:start]}({pattern[start:a]}){pattern[a : b + 1]}{pattern[b + 1 :]}", severity, "group", "true", low, builtin=False)
+
+
+URL_PASSWORD = "regexp_extract(value, '://[^@]*?:([^@]*)@', 1)"
 _SECRET40 = r"value RLIKE '^[A-Za-z0-9/+=]{40}$'"
 _KEY20 = r"value RLIKE '^A[KS]IA[A-Z0-9]{16}$'"
 _ALL = ":=|=>|=|:"
@@ -72,7 +112,7 @@ BUILTIN = (
         r"""(?i)(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql)://[^\s<>/:'"`]+:[^\s<>@'"`]+@[^\s<>'"`]+""",
         "Critical",
         "plain",
-        f"NOT (regexp_extract(value, '://[^@]*?:([^@]*)@', 1) RLIKE {literal(REFERENCE)} OR {one_of(chr(108) + 'ower(regexp_extract(value, ' + chr(39) + '://[^@]*?:([^@]*)@' + chr(39) + ', 1))', PLACEHOLDERS)})",
+        f"NOT ({URL_PASSWORD} RLIKE {literal(REFERENCE)} OR {one_of(f'lower({URL_PASSWORD})', PLACEHOLDERS)})",
         ("://",),
     ),
     Rule("JWT Token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "High", "token", "true", ("eyj",)),
