@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import constants
 from leakloom.functions.sqltext import entropy
-from leakloom.operators import detect, history
+from leakloom.operators import detect, history, private, report, suppress
 from leakloom.operators import findings as results
 from leakloom.operators import rules as R
 from leakloom.plans import corpus, limits
@@ -143,8 +143,10 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reachable_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _commits(spark, sf_dir)
-    return history.introduced(edges.select("commit", "parent"), edges.where("n = 12").select("commit"), edges.where("n = 7").select("commit"))
+    edges = _commits(spark, sf_dir).withColumn("repo", F.expr("commit div 100"))
+    tips = edges.where("n IN (7, 12)").selectExpr("repo", "commit", "n = 7 AS base").distinct()
+    # a head is there only for users with twelve events
+    return history.scopes(edges.select("repo", "commit", "parent"), tips).select("commit")
 
 
 def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +159,10 @@ def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reachable_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As reachable_except, over whole histories: from each user's last commit, without what its middle one reaches."""
-    edges = _histories(spark, sf_dir)
-    return history.introduced(edges.select("commit", "parent"), edges.where("n = last").select("commit"), edges.where("n = (last + 1) div 2").select("commit"))
+    edges = _histories(spark, sf_dir).withColumn("repo", F.expr("commit div 1000000000"))
+    heads = edges.where("n = last").selectExpr("repo", "commit", "false AS base")
+    bases = edges.where("n = (last + 1) div 2").selectExpr("repo", "commit", "true AS base")
+    return history.scopes(edges.select("repo", "commit", "parent"), heads.union(bases).distinct()).select("commit")
 
 
 def date_filtered_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +196,65 @@ def coverage_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(*(F.col(c).cast("long").alias(c) for c in own.columns))
 
 
+def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings with the digest of their file as its version."""
+    versions = corpus.files(spark, sf_dir).selectExpr("file_id", "sha2(content, 256) AS version")
+    return _every(spark, sf_dir).join(versions, "file_id")
+
+
+def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.snippets(_every(spark, sf_dir), corpus_lines(spark, sf_dir)).select("path", "line", "rule", "snippet")
+
+
+def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.evidence(_versioned(spark, sf_dir)).select("path", "line", "rule", "evidence_id")
+
+
+def _occurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.occurrences(report.evidence(_versioned(spark, sf_dir)))
+
+
+def occurrence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _occurred(spark, sf_dir).selectExpr("path", "line", "occurrence_id", "CAST(size(evidence_ids) AS BIGINT) AS n_evidence")
+
+
+def report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all findings, where no occurrence is reviewed."""
+    judged = _occurred(spark, sf_dir).withColumn("status", F.lit("blocking"))
+    return report.groups(judged).selectExpr("group_id", "title", "severity", "to_json(rules) AS rules", "occurrence_count", "blocking_occurrence_count")
+
+
+NEEDLES = {"A": b"tio", "B": b"ion", "C": b"io", "D": b". "}
+
+
+def private_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return private.found(docs, NEEDLES, "text", "doc_id").select("doc_id", "name", "start", "end")
+
+
+def changed_file_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit for each customer whose files are its orders; its first parent lacks some and has others, its second has some of the new ones."""
+    own = table(spark, sf_dir, "orders").selectExpr("o_custkey AS commit", "concat(CASE o_orderkey % 7 WHEN 3 THEN 'vendor/' ELSE 'src/' END, o_orderkey) AS path", "o_orderkey AS k", "sha2(CAST(o_orderkey AS STRING), 256) AS blob")
+    child = own.where("k % 5 <> 1").selectExpr("commit", "path", "blob", "'100644' AS mode")
+    first = own.where("k % 5 <> 2").selectExpr("commit", "0 AS parent_no", "path", "CASE k % 5 WHEN 3 THEN 'old' ELSE blob END AS blob", "'100644' AS mode")
+    second = own.where("k % 3 = 0").selectExpr("commit", "1 AS parent_no", "path", "blob", "'100644' AS mode")
+    changes = history.changed_files(child, first.unionByName(second), "startswith(path, 'vendor/')")
+    return changes.selectExpr("coalesce(reason, 'inspected') AS reason").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def suppressed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a directive suppresses, in files of two lines for each customer: in code, in a quote, in another language, for the next line."""
+    lines = "CASE c_custkey % 5 WHEN 0 THEN 'x = 1 // leakloom-ignore\\ny = 2' WHEN 1 THEN 'x = \"// leakloom-ignore\"\\ny = 2' WHEN 2 THEN '// LEAKLOOM-ignore-next\\ny = 2' WHEN 3 THEN '/* a\\n*/ // leakloom-ignore' ELSE 'plain\\ny' END"
+    files = table(spark, sf_dir, "customer").selectExpr("c_custkey AS file_id", "concat('f', c_custkey, CASE c_custkey % 2 WHEN 0 THEN '.js' ELSE '.py' END) AS path", f"{lines} AS content")
+    return suppress.suppressed_lines(files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, byte_offsets, path_eligibility, exclusion_last_match, scan_findings, provider_tokens, severity_summary, rule_summary, custom_rule_tokens, entropy_values, entropy_of_words,
         interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, reachable_except_all, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
+        redacted_snippets, evidence_ids, occurrence_ids, report_groups, private_overlaps, changed_file_reasons, suppressed_comments,
     )
 }
 
@@ -232,7 +290,18 @@ edges AS (SELECT user_id * 1000000000 + n AS c, n, last, CASE WHEN n > 1 THEN us
 head AS (SELECT c FROM edges WHERE n = last UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
 base AS (SELECT c FROM edges WHERE n = (last + 1) // 2 UNION SELECT p FROM base JOIN edges USING (c) WHERE p IS NOT NULL)"""
 
+_VERSIONED = f"(SELECT f.*, sha256(c.content) AS version FROM ({_FOUND}) f JOIN ({_CORPUS}) c USING (file_id))"
+_EVIDENCE = f"""(SELECT *, 'evidence-v1:' || sha256('["source",{{"path":"' || path || '","version":"' || version || '"}},"' || rule || '",[{{"start_line":' || line || ',"end_line":' || line || ',"start_column":' || start_column || ',"end_column":' || end_column || '}}]]') AS evidence_id FROM {_VERSIONED})"""
+_OCCURRED = f"""(SELECT *, 'occurrence-v1:' || sha256('["' || evidence_id || '"]') AS occurrence_id FROM {_EVIDENCE})"""
+
 ORACLES: dict[str, str] = {
+    "redacted_snippets": f"SELECT f.path, f.line, f.rule, right(left(l.text, p - 1), 20) || '[REDACTED]' || left(substr(l.text, p + length(value)), 20) AS snippet FROM (SELECT f.*, l.text, position(value IN l.text) AS p FROM ({_FOUND}) f JOIN {LINES} l USING (file_id, line)) f, LATERAL (SELECT f.text) l",
+    "evidence_ids": f"SELECT path, line, rule, evidence_id FROM {_EVIDENCE}",
+    "occurrence_ids": f"SELECT path, line, occurrence_id, CAST(1 AS BIGINT) AS n_evidence FROM {_OCCURRED}",
+    "report_groups": f"""SELECT 'group-v1:' || sha256('["' || string_agg(occurrence_id, '","' ORDER BY occurrence_id) || '"]') AS group_id, 'Credential candidate' AS title, any_value(severity) AS severity, '{{"' || any_value(rule) || '":"' || any_value(severity) || '"}}' AS rules, count(*) AS occurrence_count, count(*) AS blocking_occurrence_count FROM {_OCCURRED} GROUP BY value""",
+    "private_overlaps": "SELECT doc_id, name, start, start + n AS \"end\" FROM (SELECT doc_id, name, v, n, b, unnest(range(0, greatest(strlen(text) - n + 1, 0))) AS start FROM (SELECT doc_id, text, encode(text) AS b, name, v, strlen(v) AS n FROM documents, (VALUES ('A', 'tio'), ('B', 'ion'), ('C', 'io'), ('D', '. ')) AS x(name, v) WHERE contains(text, v))) WHERE b[start + 1 : start + n] = encode(v)",
+    "changed_file_reasons": "SELECT CASE WHEN k % 5 = 1 THEN 'deleted' WHEN k % 7 = 3 THEN 'trusted exclusion' WHEN k % 3 = 0 THEN 'content unchanged in a parent' ELSE 'inspected' END AS reason, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 5 IN (1, 2, 3) GROUP BY 1",
+    "suppressed_comments": "SELECT c_custkey AS file_id, CAST(l AS INTEGER) AS line FROM (SELECT c_custkey, unnest(CASE c_custkey % 5 WHEN 0 THEN [1] WHEN 2 THEN [1, 2] WHEN 3 THEN [2] ELSE [] END) AS l FROM customer WHERE c_custkey % 2 = 0)",
     "lines_explode": f"SELECT file_id, line, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM {_DOC_LINES}",
     "byte_offsets": f"SELECT file_id, line, CAST(sum(strlen(text) + 1) OVER (PARTITION BY file_id ORDER BY line) - strlen(text) - 1 AS BIGINT) AS start_byte FROM {_DOC_LINES}",
     "path_eligibility": f"SELECT path, regexp_extract(path, '[^/]\\.([a-z]+)$', 1) IN ({_NAMES}) AS eligible FROM ({_CORPUS})",
@@ -241,7 +310,8 @@ ORACLES: dict[str, str] = {
     "provider_tokens": f"SELECT {_PLACED} FROM {_TOKENS}",
     "severity_summary": f"SELECT severity, count(*) AS n FROM ({_FOUND}) GROUP BY severity",
     "rule_summary": f"SELECT rule, count(*) AS n, count(DISTINCT path) AS n_files FROM ({_FOUND}) GROUP BY rule",
-    "custom_rule_tokens": f"SELECT file_id, line, CAST(p0 AS BIGINT) AS start_column, CAST(p0 + 39 AS BIGINT) AS end_column, sha256(v) AS value_sha256 FROM (SELECT *, strlen(left(text, position('token = \"' || v IN text) - 1)) + 10 AS p0 FROM (SELECT *, unnest(regexp_extract_all(text, 'token = \"([0-9a-f]{{40}})\"', 1)) AS v FROM {_DOC_LINES}))",
+    # the k-th match of 50 bytes begins after k pieces and k - 1 matches
+    "custom_rule_tokens": f"SELECT file_id, line, CAST(p0 AS BIGINT) AS start_column, CAST(p0 + 39 AS BIGINT) AS end_column, sha256(vs[k]) AS value_sha256 FROM (SELECT *, list_sum([strlen(x) for x in pieces[:k]]) + 50 * (k - 1) + 10 AS p0 FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM (SELECT *, regexp_extract_all(text, 'token = \"([0-9a-f]{{40}})\"', 1) AS vs, regexp_split_to_array(text, 'token = \"[0-9a-f]{{40}}\"') AS pieces FROM {_DOC_LINES})))",
     "entropy_values": f"""WITH q AS (SELECT DISTINCT file_id, line, v FROM (SELECT file_id, line, unnest(regexp_extract_all(text, '"([^"\\\\]*(?:\\\\.[^"\\\\]*)*)"', 1)) AS v FROM {_DOC_LINES}) WHERE length(v) >= 30 AND NOT (contains(v, '/') AND contains(v, '.')) AND regexp_full_match(v, '[A-Za-z0-9_.+/=:%-]+'))
 SELECT file_id, line, sha256(v) AS value_sha256, round(-sum(s * log2(s)), 9) AS entropy FROM (SELECT file_id, line, v, count(*) / length(v) AS s FROM (SELECT *, unnest(string_split(v, '')) AS c FROM q) GROUP BY file_id, line, v, c) GROUP BY file_id, line, v""",
     "entropy_of_words": "SELECT p_partkey, round(-sum(s * log2(s)), 9) AS entropy FROM (SELECT p_partkey, count(*) / any_value(length(p_name)) AS s FROM (SELECT p_partkey, p_name, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY p_partkey, c) GROUP BY p_partkey",

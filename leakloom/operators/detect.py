@@ -14,17 +14,19 @@ RANK = "CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' TH
 
 
 def candidates(lines: DataFrame, rules: tuple[R.Rule, ...] = R.BUILTIN) -> DataFrame:
-    """A row for each match of each rule in lines (file_id, path, line, text): one array for all rules, exploded once."""
-    parts = []
+    """A row for each match of each rule in lines (file_id, path, line, text): first which rules a line can match at all, then their matches."""
+    parts, able = [], []
     for no, rule in enumerate(rules):
         secret, key = rule.groups
-        found = matches("text", rule.pattern, secret, f", {no} AS rule_no", key, 1 if rule.kind == "group" else None)
+        found = matches("text", rule.pattern, secret, "", key, 1 if rule.kind == "group" else None)
         guard = " OR ".join(f"contains(lowered, {literal(x.lower())})" for x in rule.needs) or "true"
-        parts.append(f"CASE WHEN {guard} THEN {found} ELSE array() END")
+        able.append(f"CASE WHEN {guard} THEN {no} END")
+        parts.append(f"WHEN {no} THEN {found}")
     some = sorted({x.lower() for rule in rules for x in rule.needs})
     any_of = " OR ".join(f"contains(lowered, {literal(x)})" for x in some) if all(r.needs for r in rules) else "true"
     out = lines.selectExpr("file_id", "path", "line", "text", "lower(text) AS lowered").where(any_of)
-    return out.select("file_id", "path", "line", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("m")).select("file_id", "path", "line", "m.*")
+    out = out.select("file_id", "path", "line", "text", F.explode(F.expr(f"array_compact(array({', '.join(able)}))")).alias("rule_no"))
+    return out.select("file_id", "path", "line", "rule_no", F.explode(F.expr(f"CASE rule_no {' '.join(parts)} END")).alias("m")).select("file_id", "path", "line", "rule_no", "m.*")
 
 
 def matched(lines: DataFrame, rules: tuple[R.Rule, ...] = R.BUILTIN) -> DataFrame:
@@ -38,11 +40,10 @@ def matched(lines: DataFrame, rules: tuple[R.Rule, ...] = R.BUILTIN) -> DataFram
     left = "octet_length(v1) - 1 - octet_length(v2)"
     inside = f"CASE WHEN shell THEN {left} + CASE WHEN v2 RLIKE {literal(R.QUOTED)} THEN 1 ELSE 0 END ELSE 0 END"
     found = found.withColumn("at0", F.col("at")).withColumn("at", F.expr(f"at + CASE WHEN q1 THEN 1 ELSE 0 END + {inside}"))
-    keyed = " ".join(f"WHEN {no} THEN {R.valid(rule)}" for no, rule in enumerate(rules))
     by_rule = lambda field: "CASE rule_no " + " ".join(f"WHEN {no} THEN {getattr(rule, field)!r}" for no, rule in enumerate(rules)) + " END"
     raw = " OR ".join(f"rule_no = {no}" for no, r in enumerate(rules) if r.kind in ("token", "plain") or not r.builtin) or "false"
     found = found.selectExpr("file_id", "path", "line", "before", "after", "key", "extension", "rule_no", f"CASE WHEN {raw} THEN secret ELSE value END AS value", "quoted", f"CASE WHEN {raw} THEN at0 ELSE at END AS at")
-    found = found.where(f"CASE rule_no {keyed} END")
+    found = found.where(R.valid(rules))
     builtin = "CASE rule_no " + " ".join(f"WHEN {no} THEN {str(rule.builtin).lower()}" for no, rule in enumerate(rules)) + " END"
     return found.selectExpr("file_id", "path", "line", f"{by_rule('name')} AS rule", f"{by_rule('severity')} AS severity", "at + 1 AS start_column", "at + octet_length(value) AS end_column", "value", "rule_no", f"{builtin} AS builtin")
 

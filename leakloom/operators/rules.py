@@ -128,22 +128,26 @@ QUOTED = r"""(?s)^(?:".*"|'.*'|`.*`)$"""
 SHELL_DEFAULT = r"(?s)^\$\{[A-Za-z_][A-Za-z0-9_]*(?::-|:=|-|=)(.*)\}$"
 
 
-def valid(rule: Rule) -> str:
-    """Over before, after, key, value, quoted and path: whether a match is a finding. Rejected matches have used up their text all the same."""
+def valid(rules: tuple[Rule, ...]) -> str:
+    """Over rule_no, before, after, key, value, quoted, extension and path: whether a match is a finding. Rejected matches have used up their text all the
+    same. What rules of a kind have in common is said once, so that the compiled code stays small."""
     word = "[A-Za-z0-9_]"
-    if not rule.builtin or rule.kind == "plain":
-        return rule.check
-    if rule.kind == "token":
-        return f"NOT right(before, 1) RLIKE '{word}' AND NOT after RLIKE '{word}'"
     edge = r"(right(before, 1) = '' OR NOT right(before, 1) RLIKE '[\\p{IsAlphabetic}\\p{N}]' OR (right(before, 1) RLIKE '[a-z]' AND key RLIKE '^[A-Z]'))"
     parts = [
-        edge if rule.kind == "keyed" else "true",
         rf"NOT before RLIKE {literal(r'\$\{[A-Za-z0-9_]*$')}",
         f"NOT value RLIKE {literal(REFERENCE)}",
         f"NOT {one_of('lower(value)', PLACEHOLDERS)}",
         "NOT value RLIKE '^pk_(?:live|test)_[A-Za-z0-9]{24,}$'",
         f"(quoted OR NOT {one_of('extension', constants.QUOTED_ONLY)})",
         rf"(quoted OR NOT value RLIKE {literal(r'[(\[{]|^(?:process\.env|config|settings|secrets|this|self)\.')})",
-        rule.check,
     ]
-    return " AND ".join(f"({x})" for x in parts)
+
+    def of(*kinds: str) -> str:
+        return "rule_no IN (" + ", ".join([*(str(no) for no, r in enumerate(rules) if r.builtin and r.kind in kinds), "-1"]) + ")"
+
+    checks: dict[str, list[int]] = {}
+    for no, rule in enumerate(rules):
+        checks.setdefault(rule.check, []).append(no)
+    own = " ".join(f"WHEN rule_no IN ({', '.join(map(str, nos))}) THEN {check}" for check, nos in checks.items())
+    tests = [f"(NOT {of('token')} OR (NOT right(before, 1) RLIKE '{word}' AND NOT after RLIKE '{word}'))", f"(NOT {of('keyed')} OR {edge})", *(f"(NOT {of('keyed', 'netrc')} OR {x})" for x in parts), f"CASE {own} END"]
+    return " AND ".join(tests)

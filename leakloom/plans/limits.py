@@ -28,6 +28,14 @@ def receipt(files: DataFrame) -> DataFrame:
     )
 
 
+def check_findings(found: DataFrame, limits: Limits) -> int:
+    """The number of findings; more than max_findings raises, since a shorter list would look complete."""
+    n = found.count()
+    if n > limits.max_findings:
+        raise LimitExceeded("max_findings")
+    return n
+
+
 def check(files: DataFrame, limits: Limits) -> dict[str, int]:
     """One job; raises with the name of each limit that is exceeded, and returns the receipt."""
     own = receipt(files).first().asDict()

@@ -23,10 +23,10 @@ def lines(docs: DataFrame, file_id: str, path: str, content: str) -> DataFrame:
     return out.selectExpr("file_id", "path", "no + 1 AS line", "regexp_replace(raw, '\\r$', '') AS text")
 
 
-def eligible(path: str = "path") -> str:
+def eligible(path: str = "path", extensions: str = constants.EXTENSIONS) -> str:
     """SQL: whether a path's name or extension is one of those that are read."""
     name = basename(path)
-    return f"({one_of(name, constants.LOCKFILES)} OR {one_of(name, constants.EXTENSIONLESS)} OR {name} = '.env' OR startswith({name}, '.env.') OR {one_of(extension(path), constants.EXTENSIONS)})"
+    return f"({one_of(name, constants.LOCKFILES)} OR {one_of(name, constants.EXTENSIONLESS)} OR {name} = '.env' OR startswith({name}, '.env.') OR {one_of(extension(path), extensions)})"
 
 
 def glob(pattern: str) -> str:
