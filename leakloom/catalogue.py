@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import constants
 from leakloom.functions.sqltext import entropy
-from leakloom.operators import detect, history, private, report, suppress
+from leakloom.operators import decode, detect, history, private, report, suppress
 from leakloom.operators import findings as results
 from leakloom.operators import rules as R
 from leakloom.plans import corpus, limits
@@ -242,6 +242,14 @@ def changed_file_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.selectExpr("coalesce(reason, 'inspected') AS reason").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def decoded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A private value in Base64 of a third of the customers' names, in plain names of another, and cut short in the rest."""
+    names = "CASE c_custkey % 3 WHEN 0 THEN concat('x ', base64(CAST(c_name AS BINARY)), ' y') WHEN 1 THEN c_name ELSE base64(CAST(left(c_name, 9) AS BINARY)) END"
+    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS file_id", f"{names} AS content")
+    out = decode.inspected(docs, {"NAME": b"Customer#0"})
+    return out.select("file_id", F.explode("found").alias("f")).select("file_id", "f.name", "f.chain", "f.start", "f.end", "f.line", "f.start_column")
+
+
 def suppressed_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a directive suppresses, in files of two lines for each customer: in code, in a quote, in another language, for the next line."""
     lines = "CASE c_custkey % 5 WHEN 0 THEN 'x = 1 // leakloom-ignore\\ny = 2' WHEN 1 THEN 'x = \"// leakloom-ignore\"\\ny = 2' WHEN 2 THEN '// LEAKLOOM-ignore-next\\ny = 2' WHEN 3 THEN '/* a\\n*/ // leakloom-ignore' ELSE 'plain\\ny' END"
@@ -254,7 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         lines_explode, byte_offsets, path_eligibility, exclusion_last_match, scan_findings, provider_tokens, severity_summary, rule_summary, custom_rule_tokens, entropy_values, entropy_of_words,
         interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, reachable_except_all, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
-        redacted_snippets, evidence_ids, occurrence_ids, report_groups, private_overlaps, changed_file_reasons, suppressed_comments,
+        redacted_snippets, evidence_ids, occurrence_ids, report_groups, private_overlaps, changed_file_reasons, suppressed_comments, decoded_values,
     )
 }
 
@@ -300,6 +308,7 @@ ORACLES: dict[str, str] = {
     "occurrence_ids": f"SELECT path, line, occurrence_id, CAST(1 AS BIGINT) AS n_evidence FROM {_OCCURRED}",
     "report_groups": f"""SELECT 'group-v1:' || sha256('["' || string_agg(occurrence_id, '","' ORDER BY occurrence_id) || '"]') AS group_id, 'Credential candidate' AS title, any_value(severity) AS severity, '{{"' || any_value(rule) || '":"' || any_value(severity) || '"}}' AS rules, count(*) AS occurrence_count, count(*) AS blocking_occurrence_count FROM {_OCCURRED} GROUP BY value""",
     "private_overlaps": "SELECT doc_id, name, start, start + n AS \"end\" FROM (SELECT doc_id, name, v, n, b, unnest(range(0, greatest(strlen(text) - n + 1, 0))) AS start FROM (SELECT doc_id, text, encode(text) AS b, name, v, strlen(v) AS n FROM documents, (VALUES ('A', 'tio'), ('B', 'ion'), ('C', 'io'), ('D', '. ')) AS x(name, v) WHERE contains(text, v))) WHERE b[start + 1 : start + n] = encode(v)",
+    "decoded_values": "SELECT c_custkey AS file_id, 'NAME' AS name, 'base64' AS chain, CAST(2 AS BIGINT) AS start, CAST(18 AS BIGINT) AS \"end\", CAST(1 AS BIGINT) AS line, CAST(3 AS BIGINT) AS start_column FROM customer WHERE c_custkey % 3 = 0 AND contains(c_name, 'Customer#0')",
     "changed_file_reasons": "SELECT CASE WHEN k % 5 = 1 THEN 'deleted' WHEN k % 7 = 3 THEN 'trusted exclusion' WHEN k % 3 = 0 THEN 'content unchanged in a parent' ELSE 'inspected' END AS reason, count(*) AS n FROM (SELECT o_orderkey AS k FROM orders) WHERE k % 5 IN (1, 2, 3) GROUP BY 1",
     "suppressed_comments": "SELECT c_custkey AS file_id, CAST(l AS INTEGER) AS line FROM (SELECT c_custkey, unnest(CASE c_custkey % 5 WHEN 0 THEN [1] WHEN 2 THEN [1, 2] WHEN 3 THEN [2] ELSE [] END) AS l FROM customer WHERE c_custkey % 2 = 0)",
     "lines_explode": f"SELECT file_id, line, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM {_DOC_LINES}",
