@@ -43,11 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and outlives executors."""
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, and outlives executors. codec: its compression, the session's where it is None."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/leakloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -194,8 +194,19 @@ class Tree:
 EDIT = "array<struct<start:int,end:int,text:string>>"
 
 
+def packed(numbers: list[int]) -> bytes:
+    """A byte with the width that the largest number needs (1, 2 or 4), then the numbers, unsigned and little-endian."""
+    most = max(numbers, default=0)
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes((width,)) + np.array(numbers, f"<u{width}").tobytes()
+
+
+def unpacked(buffer: pa.Buffer) -> list[int]:
+    return np.frombuffer(buffer, f"<u{buffer[0]}", offset=1).tolist()
+
+
 def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with word_chars and word_tokens (binary, int32 of each pre-token): what `edited` needs of a text besides the text."""
+    """docs with word_chars and word_tokens (binary, `packed`, a number for each pre-token): what `edited` needs of a text besides the text."""
     file = bpe.given(docs.sparkSession, path)
     common.small_batches(docs.sparkSession)
     docs = common.apart(docs, ("word_chars", "word_tokens"))[0]
@@ -205,8 +216,8 @@ def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch, "text"):
                 split = [own.pattern.findall(t or "") for t in part.column("text").to_pylist()]
-                chars = [np.fromiter(map(len, words), np.int32, len(words)).tobytes() for words in split]
-                tokens = [np.array(own.counts(words), np.int32).tobytes() for words in split]
+                chars = [packed(list(map(len, words))) for words in split]
+                tokens = [packed(own.counts(words)) for words in split]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(chars, pa.binary()), pa.array(tokens, pa.binary())], names=[*part.schema.names, "word_chars", "word_tokens"])
 
     return docs.mapInArrow(lambda rows: common.released(run(rows)), bpe.added(docs, ("word_chars", "binary"), ("word_tokens", "binary")))
@@ -223,7 +234,7 @@ def edited(kept: DataFrame, path: str, pattern: str, edits: str = "edits") -> Da
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
             for text, todo, *known in zip(*(batch.column(x) for x in ("text", edits, "word_chars", "word_tokens")), strict=True):
-                tree = Tree(text.as_py() or "", own, tuple(np.frombuffer(x.as_buffer(), np.int32).tolist() for x in known))
+                tree = Tree(text.as_py() or "", own, tuple(unpacked(x.as_buffer()) for x in known))
                 n, words = tree.total, sum(len(w) for w, _ in tree.leaves)
                 for x in todo.as_py() or []:
                     tree.edit(x["start"], x["end"], x["text"] or "")
@@ -246,5 +257,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    kept = common.written(trees(common.table(spark, sf_dir, "documents").select("doc_id", "text"), *model))
+    kept = common.written(trees(common.table(spark, sf_dir, "documents").select("doc_id", "text"), *model), "zstd")
     return edited(kept.withColumn("edits", three_edits()), *model).drop("text", "edits", "word_chars", "word_tokens")

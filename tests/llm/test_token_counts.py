@@ -1,4 +1,5 @@
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -38,6 +39,11 @@ def test_an_edit_encodes_little():
     assert tree.encoded - before < 40
 
 
+@given(st.lists(st.integers(0, 2**31 - 1) | st.integers(0, 300), max_size=30))
+def test_packed_numbers_come_back(numbers):
+    assert token_counts.unpacked(pa.py_buffer(token_counts.packed(numbers))) == numbers
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (2, "", 7), (3, "abc " * 50_000, None), (None, "Hello there, world", 1)], "doc_id long, text string, n_tokens int")
     docs = docs.withColumn("edits", token_counts.three_edits())
