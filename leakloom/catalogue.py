@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,16 +95,12 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.merged_spans(spans, ["l_orderkey"])
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(corpus_lines(spark, sf_dir), tuple(r for r in R.BUILTIN if r.kind == "token"), with_entropy=False)
-
-
 def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.findings(corpus_lines(spark, sf_dir))
 
 
-def logical_groups(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
-    return results.groups(source(spark, sf_dir))
+def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results.groups(_every(spark, sf_dir))
 
 
 def _exceptions(found: DataFrame) -> DataFrame:
@@ -113,18 +108,18 @@ def _exceptions(found: DataFrame) -> DataFrame:
     return ids.union(found.sparkSession.sql("SELECT 'gone' AS occurrence_id, TIMESTAMP '2031-01-01' AS expires_at"))
 
 
-def reviews_applied(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
-    found = source(spark, sf_dir)
+def reviews_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _every(spark, sf_dir)
     return results.reviewed(found, _exceptions(found), NOW).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def exception_audit(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
-    found = source(spark, sf_dir)
+def exception_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _every(spark, sf_dir)
     return results.audit(results.reviewed(found, _exceptions(found), NOW), _exceptions(found))
 
 
-def top_annotations(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
-    found = source(spark, sf_dir)
+def top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _every(spark, sf_dir)
     judged = results.reviewed(found, _exceptions(found), NOW)
     return judged.selectExpr("status = 'accepted' AS accepted", "path", "CAST(line AS BIGINT) AS line", "rule").orderBy("accepted", "path", "line", "rule").limit(100)
 
@@ -134,21 +129,6 @@ def added_line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.added_intervals(added, ["file_id"])
 
 
-def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen commits a user of the events: each the child of the one before, every fifth also of the fourth before."""
-    numbered = table(spark, sf_dir, "events").selectExpr("user_id", "ts", "event_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n").where("n <= 16")
-    own = numbered.selectExpr("user_id * 100 + n AS commit", "n", "user_id * 100 + n - 1 AS p", "user_id * 100 + n - 4 AS q")
-    first = own.selectExpr("commit", "n", "CASE WHEN n > 1 THEN p END AS parent")
-    return first.union(own.where("n % 5 = 0").selectExpr("commit", "n", "q AS parent"))
-
-
-def reachable_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _commits(spark, sf_dir).withColumn("repo", F.expr("commit div 100"))
-    tips = edges.where("n IN (7, 12)").selectExpr("repo", "commit", "n = 7 AS base").distinct()
-    # a head is there only for users with twelve events
-    return history.scopes(edges.select("repo", "commit", "parent"), tips).select("commit")
-
-
 def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A commit for every event, with its user's last number: each the child of the one before, every fifth also of the fourth before."""
     numbered = table(spark, sf_dir, "events").selectExpr("user_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n", "count(*) OVER (PARTITION BY user_id) AS last")
@@ -157,8 +137,8 @@ def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.union(own.where("n % 5 = 0").selectExpr("commit", "n", "last", "commit - 4 AS parent"))
 
 
-def reachable_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As reachable_except, over whole histories: from each user's last commit, without what its middle one reaches."""
+def reachable_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's last commit reaches, without what its middle one does."""
     edges = _histories(spark, sf_dir).withColumn("repo", F.expr("commit div 1000000000"))
     heads = edges.where("n = last").selectExpr("repo", "commit", "false AS base")
     bases = edges.where("n = (last + 1) div 2").selectExpr("repo", "commit", "true AS base")
@@ -184,9 +164,9 @@ def engine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.selectExpr("doc_id", "CAST(start AS BIGINT) AS start", "sha2(substring(b, start + 1, 4096), 256) AS window_sha256")
 
 
-def introduced_anti_join(spark: SparkSession, sf_dir: str, source: Callable[[SparkSession, str], DataFrame] = _tokens) -> DataFrame:
+def introduced_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = corpus_lines(spark, sf_dir)
-    found = source(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
+    found = _every(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
     old = found.where("file_id % 3 <> 1")
     return placed(history.new_findings(found, old))
 
@@ -261,15 +241,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         lines_explode, byte_offsets, path_eligibility, exclusion_last_match, scan_findings, provider_tokens, severity_summary, rule_summary, custom_rule_tokens, entropy_values, entropy_of_words,
-        interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, reachable_except_all, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
+        interval_merge, logical_groups, reviews_applied, exception_audit, top_annotations, added_line_islands, reachable_except, date_filtered_commits, inventory_verify, engine_windows, introduced_anti_join, coverage_receipt,
         redacted_snippets, evidence_ids, occurrence_ids, report_groups, private_overlaps, changed_file_reasons, suppressed_comments, decoded_values,
     )
 }
 
-#: As the queries without _all, which take tokens alone, over the findings of all rules and of entropy.
-WIDENED = (logical_groups, reviews_applied, exception_audit, top_annotations, introduced_anti_join)
-QUERIES |= {f"{f.__name__}_all": partial(f, source=_every) for f in WIDENED}
-
 _DOC_LINES = r"(SELECT doc_id AS file_id, CAST(i AS INTEGER) AS line, regexp_replace(l[i], '\r$', '') AS text FROM (SELECT doc_id, string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE text <> ''), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))"
 _CORPUS = corpus.sql("duckdb")
 _NAMES = ", ".join(f"'{x}'" for x in constants.EXTENSIONS.split())
@@ -287,12 +263,8 @@ SELECT file_id, path, line, rule, severity, start_column, start_column + strlen(
 _TOKENS = f"(SELECT * FROM ({_FOUND}) WHERE rule LIKE '% Token')"
 _PLACED = "file_id, path, line, rule, severity, start_column, end_column"
 _ID = "'ev-v1:' || sha256('[\"source\",\"' || path || '\",\"' || rule || '\",' || line || ',' || start_column || ',' || end_column || ']')"
-_EXCEPTIONS = f"(SELECT {_ID} AS occurrence_id, file_id % 2 = 0 AS holds FROM {_TOKENS} WHERE file_id % 3 = 0 UNION ALL SELECT 'gone', true)"
-_JUDGED = f"(SELECT t.*, CASE WHEN holds THEN 'accepted' WHEN NOT holds THEN 'expired' ELSE 'blocking' END AS status FROM (SELECT *, {_ID} AS id FROM {_TOKENS}) t LEFT JOIN {_EXCEPTIONS} e ON id = occurrence_id)"
-_EDGES = """WITH RECURSIVE numbered AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-edges AS (SELECT user_id * 100 + n AS c, n, CASE WHEN n > 1 THEN user_id * 100 + n - 1 END AS p FROM numbered WHERE n <= 16 UNION ALL SELECT user_id * 100 + n, n, user_id * 100 + n - 4 FROM numbered WHERE n <= 16 AND n % 5 = 0),
-head AS (SELECT c FROM edges WHERE n = 12 UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
-base AS (SELECT c FROM edges WHERE n = 7 UNION SELECT p FROM base JOIN edges USING (c) WHERE p IS NOT NULL)"""
+_EXCEPTIONS = f"(SELECT {_ID} AS occurrence_id, file_id % 2 = 0 AS holds FROM ({_FOUND}) WHERE file_id % 3 = 0 UNION ALL SELECT 'gone', true)"
+_JUDGED = f"(SELECT t.*, CASE WHEN holds THEN 'accepted' WHEN NOT holds THEN 'expired' ELSE 'blocking' END AS status FROM (SELECT *, {_ID} AS id FROM ({_FOUND})) t LEFT JOIN {_EXCEPTIONS} e ON id = occurrence_id)"
 _HISTORIES = """WITH RECURSIVE numbered AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS last FROM events),
 edges AS (SELECT user_id * 1000000000 + n AS c, n, last, CASE WHEN n > 1 THEN user_id * 1000000000 + n - 1 END AS p FROM numbered UNION ALL SELECT user_id * 1000000000 + n, n, last, user_id * 1000000000 + n - 4 FROM numbered WHERE n % 5 = 0),
 head AS (SELECT c FROM edges WHERE n = last UNION SELECT p FROM head JOIN edges USING (c) WHERE p IS NOT NULL),
@@ -327,20 +299,18 @@ SELECT file_id, line, sha256(v) AS value_sha256, round(-sum(s * log2(s)), 9) AS
     "interval_merge": """SELECT l_orderkey, min(s) AS start, max(e) AS "end", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
 SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
 SELECT l_orderkey, l_partkey % 1000 AS s, l_partkey % 1000 + CAST(l_quantity AS BIGINT) * 4 AS e FROM lineitem))) GROUP BY l_orderkey, island""",
-    "logical_groups": f"SELECT 'group-v1:' || sha256(string_agg(id, ',' ORDER BY id)) AS group_id, any_value(severity) AS severity, count(*) AS n_occurrences, count(DISTINCT path) AS n_files, any_value(rule) AS rules FROM (SELECT *, {_ID} AS id FROM {_TOKENS}) GROUP BY value",
+    "logical_groups": f"SELECT 'group-v1:' || sha256(string_agg(id, ',' ORDER BY id)) AS group_id, any_value(severity) AS severity, count(*) AS n_occurrences, count(DISTINCT path) AS n_files, any_value(rule) AS rules FROM (SELECT *, {_ID} AS id FROM ({_FOUND})) GROUP BY value",
     "reviews_applied": f"SELECT status, count(*) AS n FROM {_JUDGED} GROUP BY status",
     "exception_audit": f"SELECT (SELECT count(*) FROM {_EXCEPTIONS}) AS entries, count(*) AS matched, CAST(1 AS BIGINT) AS unmatched, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'expired') AS expired FROM {_JUDGED} WHERE status <> 'blocking'",
     "top_annotations": f"SELECT status = 'accepted' AS accepted, path, CAST(line AS BIGINT) AS line, rule FROM {_JUDGED} ORDER BY 1, 2, 3, 4 LIMIT 100",
     "added_line_islands": "SELECT file_id, min(line) AS first_line, max(line) AS last_line FROM (SELECT *, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS island FROM (SELECT DISTINCT l_orderkey AS file_id, l_partkey % 40 AS line FROM lineitem)) GROUP BY file_id, island",
-    "reachable_except": f'{_EDGES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
-    "reachable_except_all": f'{_HISTORIES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
+    "reachable_except": f'{_HISTORIES} SELECT c AS "commit" FROM head WHERE c NOT IN (SELECT c FROM base)',
     "date_filtered_commits": "SELECT count(*) AS reachable, count(*) FILTER (p) AS selected, count(*) FILTER (NOT p) AS omitted_by_date FROM (SELECT ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-08' AS p FROM events)",
     "inventory_verify": f"SELECT CASE file_id % 50 WHEN 7 THEN 'added' WHEN 9 THEN 'changed' ELSE 'equal' END AS state, count(*) AS n FROM ({_CORPUS}) GROUP BY 1",
     "engine_windows": "SELECT doc_id, start, sha256(b[start + 1 : start + 4096]) AS window_sha256 FROM (SELECT doc_id, encode(text) AS b, unnest(range(0, strlen(text), 2048)) AS start FROM documents WHERE text <> '')",
-    "introduced_anti_join": f"SELECT {_PLACED} FROM {_TOKENS} WHERE file_id % 3 = 1",
+    "introduced_anti_join": f"SELECT {_PLACED} FROM ({_FOUND}) WHERE file_id % 3 = 1",
     "coverage_receipt": f"SELECT count(*) AS files, CAST(sum(strlen(content)) AS BIGINT) AS total_bytes, max(strlen(content)) AS longest_file, max(list_max([strlen(x) for x in string_split(content, chr(10))])) AS longest_line FROM ({_CORPUS})",
 }
-ORACLES |= {f"{f.__name__}_all": ORACLES[f.__name__].replace(_TOKENS, f"({_FOUND})") for f in WIDENED}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,10 @@ def test_query_equals_its_sql(spark, db, name):
 
 def test_groups_reviews_and_introduced_take_all_findings(spark):
     n = catalogue.scan_findings(spark, SF).count()
-    judged = {r.status: r.n for r in catalogue.QUERIES["reviews_applied_all"](spark, SF).collect()}
+    judged = {r.status: r.n for r in catalogue.QUERIES["reviews_applied"](spark, SF).collect()}
     assert sum(judged.values()) == n > catalogue.provider_tokens(spark, SF).count()
-    assert "Database Connection String" in {r.rule for r in catalogue.QUERIES["introduced_anti_join_all"](spark, SF).collect()}
-    assert catalogue.QUERIES["logical_groups_all"](spark, SF).agg({"n_occurrences": "sum"}).first()[0] == n
+    assert "Database Connection String" in {r.rule for r in catalogue.QUERIES["introduced_anti_join"](spark, SF).collect()}
+    assert catalogue.QUERIES["logical_groups"](spark, SF).agg({"n_occurrences": "sum"}).first()[0] == n
 
 
 def scan(spark, files, **more):
@@ -125,7 +125,7 @@ def test_histories_have_no_cap(spark, tmp_path):
         return seen
 
     want = {u * 10**9 + n for u, last in sizes.items() for n in reached(last) - reached((last + 1) // 2)}
-    assert {r[0] for r in catalogue.reachable_except_all(spark, str(tmp_path)).collect()} == want and 4 * 10**9 + 230 in want
+    assert {r[0] for r in catalogue.reachable_except(spark, str(tmp_path)).collect()} == want and 4 * 10**9 + 230 in want
 
 
 def test_new_findings_and_groups(spark):
