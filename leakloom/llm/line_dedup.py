@@ -13,7 +13,7 @@
 
 Only hashes, counts and numbers of lines are shuffled, but for the texts themselves, once to compare and once to cut
 (the plan uses one exchange for both where the columns are the same). A line or chunk that is everywhere is summed up
-before the shuffle; joins on it are split by Spark (they are plain equi-joins).
+before the shuffle; common ones, whose number is bounded by their share, are broadcast to their places, all others joined by key.
 
 Defined results: null and empty texts stay as they are. A null doc_id keeps its text. Rows with equal doc_id and text are
 one document, and all are cut alike; rows with equal doc_id and other texts are different documents, the lower hash first.
@@ -31,6 +31,8 @@ from leakloom.llm import common
 
 MIN_WORDS = 50
 MODULUS = 2
+#: A line with this share of all places of shared lines is common, so there are 2,000 of them at most; windows of chunks likewise.
+COMMON = 1 / 2_000
 KEY = ("_id", "_hash")
 RESULTS = ("n_lines", "n_removed", "removed")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,15 +42,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
 
 
+def looked_up(rows: DataFrame, counts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows with the values that counts (keys, values, n: how many rows there are of a key) has for their keys; others go.
+
+    Keys with a share of COMMON of all counted rows are broadcast, being 1 / COMMON at most. Their rows have what they need, so any key
+    deals them evenly; the others are joined by their keys."""
+    own, counts = rows.columns, common.written(counts)
+    least = max(1, (counts.agg(F.sum("n")).first()[0] or 0) * COMMON)
+    often = counts.where(F.col("n") >= least).select(*keys, F.struct(*values).alias("often"))
+    rest = counts.where(F.col("n") < least).select(F.col(keys[0]).alias("dealt"), *keys[1:], F.struct(*values).alias("seldom"))
+    dealt = F.when(F.col("often").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*own))
+    both = rows.join(F.broadcast(often), keys, "left").withColumn("dealt", dealt).join(rest.hint("merge"), ["dealt", *keys[1:]], "left")
+    return both.withColumn("near", F.coalesce("often", "seldom")).where("near is not null").select(*own, *(F.col(f"near.{v}") for v in values))
+
+
 def shared_lines(docs: DataFrame) -> DataFrame:
     """_id, _hash, place, line (hash), words, led, followed (whether all its places have the same line before, after): lines of at least two documents."""
     lines = keyed(docs).select(*KEY, F.transform(F.split("_text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"))
     near = F.expr("transform(lines, (x, i) -> struct(x.line AS line, coalesce(get(lines, i - 1).line, 0L) AS up, coalesce(get(lines, i + 1).line, 0L) AS down))")
     once = lines.select(F.xxhash64(*KEY).alias("doc"), F.explode(near).alias("x")).select("doc", "x.*")
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "up", "down") for f in (F.min, F.max)]
-    counts = once.groupBy("line").agg(*ends).where("min_doc <> max_doc").selectExpr("line", "min_up = max_up AS led", "min_down = max_down AS followed")
+    counts = once.groupBy("line").agg(*ends, F.count("*").alias("n")).where("min_doc <> max_doc").selectExpr("line", "min_up = max_up AS led", "min_down = max_down AS followed", "n")
     every = lines.select(*KEY, F.posexplode("lines").alias("place", "x")).select(*KEY, "place", "x.line", "x.words")
-    return every.join(counts, "line")
+    return looked_up(every, counts, ["line"], ["led", "followed"])
 
 
 def chunks(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -87,10 +103,10 @@ def passages(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_WORDS
     """_id, _hash, chunk, top, bottom, stays: the chunks of repeated windows."""
     own = common.written(runs(docs, modulus, min_words))
     found = common.written(windows(own, min_words))
-    repeated = found.groupBy("window", "more").agg(F.min(F.struct(*KEY, "bottom")).alias("first"), F.max(F.struct(*KEY)).alias("last"))
+    repeated = found.groupBy("window", "more").agg(F.min(F.struct(*KEY, "bottom")).alias("first"), F.max(F.struct(*KEY)).alias("last"), F.count("*").alias("n"))
     repeated = repeated.where("first._id <> last._id OR first._hash <> last._hash").drop("last")
     stays = (F.col("first._id") == F.col("_id")) & (F.col("first._hash") == F.col("_hash")) & (F.col("top") <= F.col("first.bottom"))
-    spans = found.join(repeated, ["window", "more"]).select(*KEY, "run", F.struct(F.col("top").alias("start"), (F.col("bottom") + 1).alias("end")).alias("span"), stays.alias("stays"))
+    spans = looked_up(found, repeated, ["window", "more"], ["first"]).select(*KEY, "run", F.struct(F.col("top").alias("start"), (F.col("bottom") + 1).alias("end")).alias("span"), stays.alias("stays"))
     of_run = spans.groupBy(*KEY, "run").agg(*(F.sort_array(F.collect_set(x)).alias(name) for x, name in ((F.col("span"), "every"), (F.when(~F.col("stays"), F.col("span")), "gone"))))
     held = f"filter(parts, x -> {common.meets('i_every', 'x.top', 'x.bottom + 1')})"
     judged = f"transform({held}, x -> struct(x.chunk AS chunk, x.top AS top, x.bottom AS bottom, NOT {common.meets('i_gone', 'x.top', 'x.bottom + 1')} AS stays))"

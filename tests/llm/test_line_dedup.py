@@ -126,3 +126,12 @@ def test_random_lines_against_brute_force(spark):
     want = common_runs(docs)
     assert all(want[i] <= got[i] for i in want)
     assert sum(len(got[i] - want[i]) for i in want) <= sum(len(x) - len(set(x)) for x in texts)  # more goes only where a text repeats itself
+
+
+def test_common_and_other_keys_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(6, 40)[0], "doc_id long, text string")
+    every = []
+    for share in (0, 1 / 100, 1):
+        monkeypatch.setattr(line_dedup, "COMMON", share)
+        every.append(sorted(tuple(r) for r in line_dedup.deduplicated(docs).collect()))
+    assert every[0] == every[1] == every[2] and sum(r[-2] > 0 for r in every[0]) == 39
