@@ -123,6 +123,7 @@ def deduplicated(docs: DataFrame, modulus: int = MODULUS, min_words: int = MIN_W
     copies = texts.select(F.split("_text", "\n").alias("lines"), F.explode("parts").alias("p"))
     copies = copies.select("p.chunk", F.array_join(F.slice("lines", F.col("p.top") + 1, F.col("p.bottom") - F.col("p.top") + 1), "\n").alias("own"))
     differ = copies.groupBy("chunk").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("chunk")
+    differ = common.written(differ)  # chunks of equal hash and other text: hardly ever any, so Spark sees by its size whether to broadcast it
     gone = found.where("not stays").join(differ, "chunk", "left_anti").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("top", "bottom"))).alias("_gone"))
     own = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text"), "_text": F.col("text")}).drop("text")
     lines = F.split("_text", "\n")
