@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.lines(corpus.files(spark, sf_dir), "file_id", "path", "content")
+    return text.lines(corpus.spread_files(spark, sf_dir), "file_id", "path", "content")
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

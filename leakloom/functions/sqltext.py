@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 FOLD = 128
 
 
@@ -15,6 +18,11 @@ def bound(value: str, name: str, use: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {use}), 1)"
 
 
+def once(df: DataFrame, **columns: str) -> DataFrame:
+    """df with more columns that are computed once for each row: the optimizer copies no expression out of a generator into filters and projections."""
+    return df.select("*", F.inline(F.array(F.struct(*(F.expr(e).alias(name) for name, e in columns.items())))))
+
+
 def running_before(numbers: str) -> str:
     """For each number of an array the sum of those before it; in pieces, so that long arrays stay near-linear."""
 

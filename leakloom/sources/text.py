@@ -16,11 +16,11 @@ def files(spark: SparkSession, folder: str, max_file_bytes: int = 64 << 20) -> D
     return raw.select(F.xxhash64("path").alias("file_id"), "path", checked.alias("content"))
 
 
-def lines(docs: DataFrame, file_id: str, path: str, content: str) -> DataFrame:
-    """file_id, path, line (from 1), text: cut at \\n, without one \\r at the end; no empty line after a last \\n."""
+def lines(docs: DataFrame, file_id: str, path: str, content: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """file_id, path, line (from 1), text, and the columns to be kept: cut at \\n, without one \\r at the end; no empty line after a last \\n."""
     body = F.expr(f"CASE WHEN {content} = '' THEN CAST(array() AS ARRAY<STRING>) ELSE split(CASE WHEN endswith({content}, '\\n') THEN left({content}, length({content}) - 1) ELSE {content} END, '\\n', -1) END")
-    out = docs.select(F.expr(file_id).alias("file_id"), F.expr(path).alias("path"), F.posexplode(body).alias("no", "raw"))
-    return out.selectExpr("file_id", "path", "no + 1 AS line", "regexp_replace(raw, '\\r$', '') AS text")
+    out = docs.select(F.expr(file_id).alias("file_id"), F.expr(path).alias("path"), *keep, F.posexplode(body).alias("no", "raw"))
+    return out.selectExpr("file_id", "path", "no + 1 AS line", "CASE WHEN endswith(raw, '\\r') THEN left(raw, length(raw) - 1) ELSE raw END AS text", *keep)
 
 
 def eligible(path: str = "path", extensions: str = constants.EXTENSIONS) -> str:
