@@ -12,6 +12,7 @@ from leakloom.functions.sqltext import entropy
 from leakloom.operators import decode, detect, history, private, report, suppress
 from leakloom.operators import findings as results
 from leakloom.operators import rules as R
+from leakloom.operators.parts import spread
 from leakloom.plans import corpus, limits
 from leakloom.sources import text
 
@@ -125,8 +126,8 @@ def top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def added_line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file_id", "l_partkey % 40 AS line").distinct()
-    return history.added_intervals(added, ["file_id"])
+    added = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS file_id", "l_partkey % 40 AS line")
+    return history.added_intervals(spread(added, ["file_id"], added.count()).distinct(), ["file_id"])
 
 
 def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
