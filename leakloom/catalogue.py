@@ -93,7 +93,7 @@ def entropy_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_partkey % 1000 AS start", "l_partkey % 1000 + CAST(l_quantity AS BIGINT) * 4 AS end")
-    return results.merged_spans(spans, ["l_orderkey"])
+    return results.merged_spans(spread(spans, ["l_orderkey"], spans.count()), ["l_orderkey"])
 
 
 def _every(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_no_rule_is_matched_in_a_filter(spark):
     assert filters and max(map(len, filters)) < 4000
 
 
-@pytest.mark.parametrize("query", [catalogue.scan_findings, catalogue.added_line_islands])
+@pytest.mark.parametrize("query", [catalogue.scan_findings, catalogue.added_line_islands, catalogue.interval_merge])
 def test_a_task_has_a_bounded_share(spark, monkeypatch, query):
     monkeypatch.setattr(parts, "ROWS", 50)
     n_rows = spark.read.parquet(f"{SF}/{'orders' if query is catalogue.scan_findings else 'lineitem'}.parquet").count()
