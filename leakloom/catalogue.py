@@ -179,8 +179,8 @@ def coverage_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings with the digest of their file as its version."""
-    versions = corpus.files(spark, sf_dir).selectExpr("file_id", "sha2(content, 256) AS version")
-    return _every(spark, sf_dir).join(versions, "file_id")
+    files = corpus.spread_files(spark, sf_dir).withColumn("version", F.expr("sha2(content, 256)"))
+    return detect.findings(text.lines(files, "file_id", "path", "content", ("version",)), keep=("version",))
 
 
 def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,9 @@ def occurrences(observed: DataFrame) -> DataFrame:
     what both have; others begin an occurrence. Groups are those of a value in one file, so that a value that is everywhere is no hot key."""
     point = "struct(line AS l, start_column AS c) AS s, struct(end_line AS l, end_column AS c) AS e"
     row = F.expr(f"struct(line, start_column, evidence_id, {point}, rule, severity)")
-    grouped = observed.dropDuplicates(["grouping_key", "location", "evidence_id"]).groupBy("grouping_key", "location", "path", "version").agg(F.array_sort(F.collect_list(row)).alias("seen"))
+    grouped = observed.groupBy("grouping_key", "location", "path", "version").agg(F.sort_array(F.collect_list(row)).alias("every"))
+    # in order, equal evidence is adjacent: its id holds the place
+    grouped = grouped.withColumn("seen", F.expr("filter(every, (x, i) -> i = 0 OR get(every, i - 1).evidence_id <> x.evidence_id)")).drop("every")
     kind = "STRUCT<s: STRUCT<l: INT, c: INT>, e: STRUCT<l: INT, c: INT>, seen: ARRAY<STRUCT<id: STRING, rule: STRING, severity: STRING>>>"
     one = "array(struct(x.evidence_id AS id, x.rule AS rule, x.severity AS severity))"
     place = lambda p: f"struct(CAST({p}.l AS INT) AS l, CAST({p}.c AS INT) AS c)"
