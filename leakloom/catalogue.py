@@ -96,8 +96,8 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.merged_spans(spread(spans, ["l_orderkey"], spans.count()), ["l_orderkey"])
 
 
-def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.findings(corpus_lines(spark, sf_dir))
+def _every(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return detect.findings(corpus_lines(spark, sf_dir), keep=keep)
 
 
 def logical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +166,7 @@ def engine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def introduced_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = corpus_lines(spark, sf_dir)
-    found = _every(spark, sf_dir).join(lines.select("file_id", "line", "text"), ["file_id", "line"])
+    found = _every(spark, sf_dir, ("text",))
     old = found.where("file_id % 3 <> 1")
     return placed(history.new_findings(found, old))
 
@@ -184,7 +183,7 @@ def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.snippets(_every(spark, sf_dir), corpus_lines(spark, sf_dir)).select("path", "line", "rule", "snippet")
+    return report.snippets(_every(spark, sf_dir, ("text",))).select("path", "line", "rule", "snippet")
 
 
 def evidence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

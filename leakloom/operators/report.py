@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakloom.functions import constants
@@ -29,16 +29,18 @@ def identity(kind: str, json: str) -> str:
     return f"concat('{kind}-v1:', sha2({json}, 256))"
 
 
-def snippets(found: DataFrame, lines: DataFrame) -> DataFrame:
+def snippets(found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """found with snippet: CONTEXT characters around each value, in which every captured range of the line is replaced.
 
-    found: file_id, line, start_column, end_column (bytes from 1, the end included); lines: file_id, line, text."""
-    spans = found.groupBy("file_id", "line").agg(F.array_sort(F.collect_set(F.struct((F.col("start_column") - 1).alias("s"), F.col("end_column").alias("e")))).alias("spans"))
+    found: file_id, line, start_column, end_column (bytes from 1, the end included); lines: file_id, line, text, or none if found has the text."""
+    own = found if lines is None else found.join(lines.select("file_id", "line", F.col("text").alias("_text")), ["file_id", "line"])
+    own = own.withColumn("_b", F.col("text" if lines is None else "_text").cast("binary")).drop("_text")
+    span = F.struct((F.col("start_column") - 1).alias("s"), F.col("end_column").alias("e"))
+    own = own.withColumn("spans", F.array_sort(F.collect_set(span).over(Window.partitionBy("file_id", "line"))))
     # ranges that overlap or touch as one: a fold over the sorted spans, last one held apart
     start = "struct(CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, CAST(array() AS ARRAY<STRUCT<s: BIGINT, e: BIGINT>>) AS done)"
     step = "CASE WHEN a.e IS NULL THEN struct(CAST(x.s AS BIGINT) AS s, CAST(x.e AS BIGINT) AS e, a.done AS done) WHEN x.s <= a.e THEN struct(a.s AS s, greatest(a.e, CAST(x.e AS BIGINT)) AS e, a.done AS done) ELSE struct(CAST(x.s AS BIGINT) AS s, CAST(x.e AS BIGINT) AS e, concat(a.done, array(struct(a.s AS s, a.e AS e))) AS done) END"
-    spans = spans.selectExpr("file_id", "line", f"aggregate(spans, {start}, (a, x) -> {step}, a -> concat(a.done, array(struct(a.s AS s, a.e AS e)))) AS ranges")
-    own = found.join(spans, ["file_id", "line"]).join(lines.select("file_id", "line", F.col("text").cast("binary").alias("_b")), ["file_id", "line"])
+    own = own.selectExpr("*", f"aggregate(spans, {start}, (a, x) -> {step}, a -> concat(a.done, array(struct(a.s AS s, a.e AS e)))) AS ranges").drop("spans")
     cut = lambda a, n: f"string(substring(_b, CAST({a} + 1 AS INT), CAST({n} AS INT)))"
     own = own.withColumn("_low", F.expr(f"start_column - 1 - octet_length(right({cut(0, 'start_column - 1')}, {CONTEXT}))"))
     own = own.withColumn("_high", F.expr(f"end_column + octet_length(left({cut('end_column', 'octet_length(_b)')}, {CONTEXT}))"))

@@ -59,8 +59,8 @@ def findings(files: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     lines = text.lines(files, "file_id", "path", "content")
     off = suppress.suppressed_lines(files).withColumnsRenamed({"file_id": "_f", "line": "_l"})
     read = lines.join(off, (F.col("file_id") == F.col("_f")) & (F.col("line") == F.col("_l")), "left_anti")
-    found = detect.findings(read, policy.rules, policy.entropy, policy.threshold, policy.min_length)
-    shown = report.snippets(found, lines).drop("value").join(files.select(F.col("file_id").alias("_f"), "policy"), F.col("file_id") == F.col("_f")).drop("_f")
+    found = detect.findings(read, policy.rules, policy.entropy, policy.threshold, policy.min_length, keep=("text",))
+    shown = report.snippets(found).drop("value", "text").join(files.select(F.col("file_id").alias("_f"), "policy"), F.col("file_id") == F.col("_f")).drop("_f")
     return shown.where("policy <> 'warn'").drop("policy"), shown.where("policy = 'warn'").drop("policy")
 
 
