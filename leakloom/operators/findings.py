@@ -17,13 +17,12 @@ def groups(found: DataFrame) -> DataFrame:
     """A row for each captured value: group_id, severity, n_occurrences, n_files, rules (sorted)."""
     keyed = found.selectExpr("sha2(value, 256) AS grouping_key", f"{evidence_id()} AS id", "rule", f"{RANKED} AS rank", "severity", "path")
     out = keyed.groupBy("grouping_key").agg(
-        F.expr("concat('group-v1:', sha2(array_join(array_sort(collect_set(id)), ','), 256))").alias("group_id"),
+        F.sort_array(F.collect_set("id")).alias("ids"),
         F.expr("min_by(severity, rank)").alias("severity"),
-        F.expr("count(DISTINCT id)").alias("n_occurrences"),
-        F.expr("count(DISTINCT path)").alias("n_files"),
+        F.expr("CAST(size(collect_set(path)) AS BIGINT)").alias("n_files"),
         F.expr("array_join(array_sort(collect_set(rule)), ',')").alias("rules"),
     )
-    return out.drop("grouping_key")
+    return out.selectExpr("concat('group-v1:', sha2(array_join(ids, ','), 256)) AS group_id", "severity", "CAST(size(ids) AS BIGINT) AS n_occurrences", "n_files", "rules")
 
 
 def reviewed(found: DataFrame, exceptions: DataFrame, now: str) -> DataFrame:

@@ -147,14 +147,17 @@ def remediation(mode: str) -> str:
 
 def groups(judged: DataFrame, mode: str = "source") -> DataFrame:
     """One row per captured value: group_id, title, severity (the highest), rules (map of each rule's highest), private names, counts, remediation."""
-    private = F.expr(f"array_sort(array_distinct(flatten(collect_list(transform(filter(seen, x -> startswith(x.rule, '{PRIVATE}')), x -> substring(x.rule, {len(PRIVATE) + 1}))))))")
-    each = judged.selectExpr("grouping_key", "explode(seen) AS x").selectExpr("grouping_key", "x.rule AS rule", "x.severity AS severity")
-    rules = each.groupBy("grouping_key", "rule").agg(F.expr(f"min_by(severity, {RANKED})").alias("severity")).groupBy("grouping_key").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "severity")))).alias("rules"), F.expr(f"min_by(severity, {RANKED})").alias("severity"))
-    out = judged.groupBy("grouping_key").agg(
-        F.expr(identity("group", "to_json(array_sort(collect_list(occurrence_id)))")).alias("group_id"), F.count("*").alias("occurrence_count"),
-        F.count_if(F.col("status") != "accepted").alias("blocking_occurrence_count"), private.alias("private_env"))
-    out = out.join(rules, "grouping_key").selectExpr("*", "blocking_occurrence_count = 0 AS accepted", "size(private_env) > 0 AS private")
+    # an occurrence counts with the first of what was seen there; one pass, by rule and then by value
+    each = judged.selectExpr("grouping_key", "occurrence_id", "status", "posexplode(seen) AS (no, x)")
+    by_rule = each.groupBy("grouping_key", F.col("x.rule").alias("rule")).agg(
+        F.expr(f"min_by(x.severity, {RANKED.replace('severity', 'x.severity')})").alias("severity"), F.collect_list(F.expr("CASE WHEN no = 0 THEN occurrence_id END")).alias("ids"),
+        F.count_if(F.expr("no = 0 AND status <> 'accepted'")).alias("n_blocking"))
+    out = by_rule.groupBy("grouping_key").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "severity")))).alias("rules"), F.expr(f"min_by(severity, {RANKED})").alias("severity"),
+        F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"), F.sum("n_blocking").alias("blocking_occurrence_count"))
+    private = f"transform(filter(map_keys(rules), x -> startswith(x, '{PRIVATE}')), x -> substring(x, {len(PRIVATE) + 1}))"
+    out = out.selectExpr("*", f"{identity('group', 'to_json(ids)')} AS group_id", "CAST(size(ids) AS BIGINT) AS occurrence_count", f"array_sort({private}) AS private_env").drop("ids")
+    out = out.selectExpr("*", "blocking_occurrence_count = 0 AS accepted", "size(private_env) > 0 AS private")
     title = "CASE WHEN private THEN 'Declared private value' ELSE 'Credential candidate' END"
     return out.selectExpr("grouping_key", "group_id", f"{title} AS title", "severity", "rules", "private_env", "occurrence_count", "blocking_occurrence_count", f"{remediation(mode)} AS remediation")
 
