@@ -64,7 +64,7 @@ def extension(path: str) -> str:
 
 
 def basename(path: str) -> str:
-    return f"element_at(split({path}, '/'), -1)"
+    return f"substring_index({path}, '/', -1)"
 
 
 def one_of(value: str, words: str) -> str:
