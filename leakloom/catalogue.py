@@ -116,7 +116,7 @@ def reviews_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exception_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _every(spark, sf_dir)
-    return results.audit(results.reviewed(found, _exceptions(found), NOW), _exceptions(found))
+    return results.audit(found, _exceptions(found), NOW)
 
 
 def top_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,8 @@ def test_the_first_match_is_where_its_text_is_first(spark):
     lines = spark.createDataFrame([(1, ".netrc", 1, f"éxpassword {secret} password {secret}"), (2, "a.env", 1, f"é Password: '{secret}'")], "file_id long, path string, line int, text string")
     got = sorted((r.file_id, r.rule, r.start_column, r.value) for r in detect.findings(lines).collect())
     assert got == [(1, "Netrc Password", len(f"éxpassword {secret} password ".encode()) + 1, secret), (2, "Password in Object", len("é Password: '".encode()) + 1, secret)]
+
+
+def test_an_audit_reads_findings_once_and_exceptions_once(spark):
+    got = plan(catalogue.exception_audit(spark, SF))
+    assert len(re.findall("FileScan", got)) == 2
