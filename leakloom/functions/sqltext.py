@@ -34,17 +34,20 @@ def running_before(numbers: str) -> str:
     return bound(numbers, "ns", bound(pieces, "ps", f"flatten(zip_with(ps, {starts}, (p, start) -> {fold('p', 'start')}))"))
 
 
-def matches(text: str, pattern: str, secret: int, more: str = "", key: int | None = None, lead: int | None = None) -> str:
-    """All leftmost matches as structs: start, end (bytes of the match), at (where the secret begins: after the group `lead`, else so that it
-    ends with the match), whole, secret (a group), key, before (all since the match before it, and that), after (one)."""
+def zipped(text: str, pattern: str, secret: int, key: int | None = None) -> str:
+    """All leftmost matches as structs of the match, the group `secret`, the group `key` if any, and what is before; one more has what is after the last."""
     re = literal(pattern)
-    key = key if lead is None else lead
     names = f"regexp_extract_all({text}, {re}, {key})" if key is not None else "CAST(array() AS ARRAY<STRING>)"
-    rows = f"arrays_zip(regexp_extract_all({text}, {re}, 0), regexp_extract_all({text}, {re}, {secret}), {names}, split({text}, {re}, -1))"  # fields 0 to 3
+    return f"arrays_zip(regexp_extract_all({text}, {re}, 0), regexp_extract_all({text}, {re}, {secret}), {names}, split({text}, {re}, -1))"  # fields 0 to 3
+
+
+def located(rows: str, leads: str = "false", more: str = "") -> str:
+    """What zipped() gave as structs: start, end (bytes of the match), at (where the secret begins: after the key where `leads` holds, else so
+    that it ends with the match), whole, secret, key, before (all since the match before it, and that), after (one)."""
     w, s, k, p = "`0`", "`1`", "`2`", "`3`"
     at = running_before(f"transform(ms, m -> octet_length(m.{p}) + coalesce(octet_length(m.{w}), 0))")
     own = (
-        f"struct(at + octet_length(m.{p}) AS start, at + octet_length(m.{p}) + octet_length(m.{w}) AS end, {'at + octet_length(m.' + p + ') + octet_length(m.' + k + ')' if lead is not None else f'at + octet_length(m.{p}) + octet_length(m.{w}) - octet_length(m.{s})'} AS at,"
+        f"struct(at + octet_length(m.{p}) AS start, at + octet_length(m.{p}) + octet_length(m.{w}) AS end, at + octet_length(m.{p}) + CASE WHEN {leads} THEN octet_length(m.{k}) ELSE octet_length(m.{w}) - octet_length(m.{s}) END AS at,"
         f" m.{w} AS whole, m.{s} AS secret, coalesce(m.{k}, '') AS key, concat(coalesce(get(ms, m_no - 1).{w}, ''), m.{p}) AS before, left(concat(coalesce(get(ms, m_no + 1).{p}, ''), coalesce(get(ms, m_no + 1).{w}, '')), 1) AS after{more})"
     )
     numbered = "transform(ms, (m, i) -> struct(m AS m, i AS i))"
@@ -52,6 +55,11 @@ def matches(text: str, pattern: str, secret: int, more: str = "", key: int | Non
     return bound(rows, "ms", f"filter({found}, m -> m.whole IS NOT NULL)")
 
 
+def matches(text: str, pattern: str, secret: int, more: str = "", key: int | None = None, lead: int | None = None) -> str:
+    """All leftmost matches of one pattern, located; the secret begins after the group `lead`, if any."""
+    return located(zipped(text, pattern, secret, key if lead is None else lead), "false" if lead is None else "true", more)
+
+
 def entropy(value: str) -> str:
     """Shannon entropy of a text of one-byte characters, in bits a byte."""
     n = f"length({value})"

@@ -36,7 +36,7 @@ class Rule:
     kind: str = "keyed"
     #: What the value must be, in SQL over `value`.
     check: str = "octet_length(value) >= 8"
-    #: Texts, in lower case, one of which a line must hold.
+    #: Texts, in lower case, one of which a line must hold. They are looked for first, so rules should share them and few lines hold them.
     needs: tuple[str, ...] = ()
     #: More such sets: a line must hold one text of each.
     also: tuple[tuple[str, ...], ...] = ()
@@ -97,25 +97,26 @@ _ALL = ":=|=>|=|:"
 _SIGN = (":", "=")
 _OR = ("||", "??")
 _AWS = ("akia", "asia")
+_PASSWORD = ("password", "passwd", "pwd")
 
 BUILTIN = (
     Rule("AWS Access Key", "(?:AKIA|ASIA)[A-Z0-9]{16}", "Critical", "token", "true", needs=_AWS),
     Rule("AWS Secret Key", assignment(AWS_SECRET, _ALL), "Critical", check=_SECRET40, needs=("secret",), also=(_SIGN, ("key",), ("aws", "amazon"))),
     Rule("AWS Key in Object", assignment("key", ":"), "Critical", check=_KEY20, needs=_AWS, also=(_SIGN, (":",), ("key",))),
     Rule("AWS Secret in Object", assignment("secret", ":"), check=_SECRET40, needs=("secret",), also=(_SIGN, (":",))),
-    Rule("AWS Direct Key Assignment", fallback("key", ENVIRONMENT), "Critical", check=_KEY20, needs=_OR, also=(_SIGN, ("process.env",), ("key",), _AWS)),
-    Rule("AWS Direct Secret Assignment", fallback("secret", ENVIRONMENT), check=_SECRET40, needs=_OR, also=(_SIGN, ("process.env",), ("secret",))),
-    Rule("AWS Access Key with Fallback", fallback("key", EXPRESSION), "Critical", check=_KEY20, needs=_OR, also=(_SIGN, ("key",), _AWS)),
-    Rule("AWS Secret with Fallback", fallback("secret", EXPRESSION), check=_SECRET40, needs=_OR, also=(_SIGN, ("secret",))),
-    Rule("Password with Fallback", fallback(PASSWORD, EXPRESSION), needs=_OR, also=(_SIGN, ("password", "passwd", "pwd"))),
-    Rule("Generic Fallback Secret", fallback(rf"secret|token|credential|{API_KEY}", ENVIRONMENT), needs=_OR, also=(_SIGN, ("process.env",))),
+    Rule("AWS Direct Key Assignment", fallback("key", ENVIRONMENT), "Critical", check=_KEY20, needs=_AWS, also=(_SIGN, _OR, ("process.env",), ("key",))),
+    Rule("AWS Direct Secret Assignment", fallback("secret", ENVIRONMENT), check=_SECRET40, needs=("secret",), also=(_SIGN, _OR, ("process.env",))),
+    Rule("AWS Access Key with Fallback", fallback("key", EXPRESSION), "Critical", check=_KEY20, needs=_AWS, also=(_SIGN, _OR, ("key",))),
+    Rule("AWS Secret with Fallback", fallback("secret", EXPRESSION), check=_SECRET40, needs=("secret",), also=(_SIGN, _OR)),
+    Rule("Password with Fallback", fallback(PASSWORD, EXPRESSION), needs=_PASSWORD, also=(_SIGN, _OR)),
+    Rule("Generic Fallback Secret", fallback(rf"secret|token|credential|{API_KEY}", ENVIRONMENT), needs=("process.env",), also=(_SIGN, _OR)),
     Rule("GitHub Token", "gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}", "Critical", "token", "true", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), (("_",),)),
     Rule("Stripe Secret Key", "(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{24,}", "Critical", "token", "true", ("sk_", "rk_"), (("_",),)),
     Rule("npm Access Token", "npm_[A-Za-z0-9]{36}", "Critical", "token", "true", ("npm_",), (("_",),)),
     Rule("Generic API Key", assignment(API_KEY, _ALL), check=r"value RLIKE '^[A-Za-z0-9_+/=.-]{32,}$' AND replace(value, left(value, 1), '') <> ''", needs=("api",), also=(_SIGN, ("key",))),
     Rule("Private Key", "-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", "Critical", "plain", "true", ("-----begin",)),
-    Rule("Password Assignment", assignment(PASSWORD, ":=|=>|="), needs=("password", "passwd", "pwd"), also=(_SIGN, ("=",))),
-    Rule("Password in Object", assignment(PASSWORD, ":"), needs=("password", "passwd", "pwd"), also=(_SIGN, (":",))),
+    Rule("Password Assignment", assignment(PASSWORD, ":=|=>|="), needs=_PASSWORD, also=(_SIGN, ("=",))),
+    Rule("Password in Object", assignment(PASSWORD, ":"), needs=_PASSWORD, also=(_SIGN, (":",))),
     Rule("Netrc Password", rf"(?i)\bpassword\s+{VALUE}", kind="netrc", check=f"value <> '' AND {basename('path')} = '.netrc'", needs=("password",)),
     Rule(
         "Database Connection String",
@@ -145,10 +146,10 @@ def valid(rules: tuple[Rule, ...]) -> str:
     word = "[A-Za-z0-9_]"
     edge = r"(right(before, 1) = '' OR NOT right(before, 1) RLIKE '[\\p{IsAlphabetic}\\p{N}]' OR (right(before, 1) RLIKE '[a-z]' AND key RLIKE '^[A-Z]'))"
     parts = [
-        rf"NOT before RLIKE {literal(r'\$\{[A-Za-z0-9_]*$')}",
-        f"NOT value RLIKE {literal(REFERENCE)}",
+        rf"NOT (contains(before, '${{') AND before RLIKE {literal(r'\$\{[A-Za-z0-9_]*$')})",
+        f"NOT (left(value, 1) IN ('$', 'p', 'v', 'o') AND value RLIKE {literal(REFERENCE)})",  # how references begin
         f"NOT {one_of('lower(value)', PLACEHOLDERS)}",
-        "NOT value RLIKE '^pk_(?:live|test)_[A-Za-z0-9]{24,}$'",
+        "NOT (startswith(value, 'pk_') AND value RLIKE '^pk_(?:live|test)_[A-Za-z0-9]{24,}$')",
         f"(quoted OR NOT {one_of('extension', constants.QUOTED_ONLY)})",
         rf"(quoted OR NOT value RLIKE {literal(r'[(\[{]|^(?:process\.env|config|settings|secrets|this|self)\.')})",
     ]
