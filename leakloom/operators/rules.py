@@ -97,25 +97,28 @@ _ALL = ":=|=>|=|:"
 _SIGN = (":", "=")
 _OR = ("||", "??")
 _AWS = ("akia", "asia")
+# what all texts of a set have in common comes first: one look for it tells most lines
+_IA = ("ia",)
+_W = ("w",)
 
 BUILTIN = (
-    Rule("AWS Access Key", "(?:AKIA|ASIA)[A-Z0-9]{16}", "Critical", "token", "true", needs=_AWS),
+    Rule("AWS Access Key", "(?:AKIA|ASIA)[A-Z0-9]{16}", "Critical", "token", "true", needs=_AWS, also=(_IA,)),
     Rule("AWS Secret Key", assignment(AWS_SECRET, _ALL), "Critical", check=_SECRET40, needs=("secret",), also=(_SIGN, ("key",), ("aws", "amazon"))),
-    Rule("AWS Key in Object", assignment("key", ":"), "Critical", check=_KEY20, needs=_AWS, also=(_SIGN, (":",), ("key",))),
+    Rule("AWS Key in Object", assignment("key", ":"), "Critical", check=_KEY20, needs=_AWS, also=(_IA, (":",), ("key",))),
     Rule("AWS Secret in Object", assignment("secret", ":"), check=_SECRET40, needs=("secret",), also=(_SIGN, (":",))),
     Rule("AWS Direct Key Assignment", fallback("key", ENVIRONMENT), "Critical", check=_KEY20, needs=_OR, also=(_SIGN, ("process.env",), ("key",), _AWS)),
     Rule("AWS Direct Secret Assignment", fallback("secret", ENVIRONMENT), check=_SECRET40, needs=_OR, also=(_SIGN, ("process.env",), ("secret",))),
     Rule("AWS Access Key with Fallback", fallback("key", EXPRESSION), "Critical", check=_KEY20, needs=_OR, also=(_SIGN, ("key",), _AWS)),
     Rule("AWS Secret with Fallback", fallback("secret", EXPRESSION), check=_SECRET40, needs=_OR, also=(_SIGN, ("secret",))),
-    Rule("Password with Fallback", fallback(PASSWORD, EXPRESSION), needs=_OR, also=(_SIGN, ("password", "passwd", "pwd"))),
+    Rule("Password with Fallback", fallback(PASSWORD, EXPRESSION), needs=_OR, also=(_SIGN, _W, ("password", "passwd", "pwd"))),
     Rule("Generic Fallback Secret", fallback(rf"secret|token|credential|{API_KEY}", ENVIRONMENT), needs=_OR, also=(_SIGN, ("process.env",))),
     Rule("GitHub Token", "gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}", "Critical", "token", "true", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), (("_",),)),
     Rule("Stripe Secret Key", "(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{24,}", "Critical", "token", "true", ("sk_", "rk_"), (("_",),)),
     Rule("npm Access Token", "npm_[A-Za-z0-9]{36}", "Critical", "token", "true", ("npm_",), (("_",),)),
     Rule("Generic API Key", assignment(API_KEY, _ALL), check=r"value RLIKE '^[A-Za-z0-9_+/=.-]{32,}$' AND replace(value, left(value, 1), '') <> ''", needs=("api",), also=(_SIGN, ("key",))),
     Rule("Private Key", "-----BEGIN (?:RSA |DSA |EC |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", "Critical", "plain", "true", ("-----begin",)),
-    Rule("Password Assignment", assignment(PASSWORD, ":=|=>|="), needs=("password", "passwd", "pwd"), also=(_SIGN, ("=",))),
-    Rule("Password in Object", assignment(PASSWORD, ":"), needs=("password", "passwd", "pwd"), also=(_SIGN, (":",))),
+    Rule("Password Assignment", assignment(PASSWORD, ":=|=>|="), needs=("password", "passwd", "pwd"), also=(_W, ("=",))),
+    Rule("Password in Object", assignment(PASSWORD, ":"), needs=("password", "passwd", "pwd"), also=(_W, (":",))),
     Rule("Netrc Password", rf"(?i)\bpassword\s+{VALUE}", kind="netrc", check=f"value <> '' AND {basename('path')} = '.netrc'", needs=("password",)),
     Rule(
         "Database Connection String",
@@ -124,7 +127,7 @@ BUILTIN = (
         "plain",
         f"NOT ({URL_PASSWORD} RLIKE {literal(REFERENCE)} OR {one_of(f'lower({URL_PASSWORD})', PLACEHOLDERS)})",
         ("://",),
-        (_SIGN, ("@",)),
+        (("@",), _SIGN),
     ),
     Rule("JWT Token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "High", "token", "true", ("eyj",), ((".",),)),
 )

@@ -1,11 +1,14 @@
 """What a query costs as its tables grow: scans, shuffles and the share of a task, read off the plans."""
 
+import random
 import re
 
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 from leakloom import catalogue
+from leakloom.functions.sqltext import bound, entropy
 from leakloom.operators import detect, parts
 from leakloom.operators import rules as R
 from leakloom.sources import text
@@ -90,3 +93,52 @@ def test_the_first_match_is_where_its_text_is_first(spark):
 def test_an_audit_reads_findings_once_and_exceptions_once(spark):
     got = plan(catalogue.exception_audit(spark, SF))
     assert len(re.findall("FileScan", got)) == 2
+
+
+def longest_method(spark, df):
+    """Bytes of the longest method that a plan's stages are compiled to."""
+    generator = spark._jvm.org.apache.spark.sql.catalyst.expressions.codegen.CodeGenerator
+
+    def walk(node):
+        own = [generator.compile(node.doCodeGen()._2())._2().maxMethodCodeSize()] if node.nodeName().startswith("WholeStageCodegen") else []
+        children = node.children()
+        return own + [n for i in range(children.size()) for n in walk(children.apply(i))]
+
+    return max(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("name", ["rule_summary", "evidence_ids", "severity_summary", "scan_findings", "top_annotations", "redacted_snippets"])
+def test_no_method_is_too_long_to_be_compiled(spark, name):
+    """The JVM interprets methods of over 8,000 bytes, at half the speed or less; the rest is room for columns that a query adds."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert longest_method(spark, catalogue.QUERIES[name](spark, SF)) < 7000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_rule_summary_shuffles_no_paths(spark, tmp_path):
+    rows = [(1, 1, "O"), (1, 2, "O"), (1, 1, "F"), (3, 1, None), (4, 1, "O"), (None, 1, "O"), (8, 1, "P"), (9, 1, "P")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.rule_summary(spark, str(tmp_path))
+    assert len(re.findall(r" Exchange ", plan(got))) == 2
+    want = catalogue.scan_findings(spark, str(tmp_path)).groupBy("rule").agg(F.count("*"), F.count_distinct("path"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("Generic API Key", 1, 1), ("GitHub Token", 1, 1), ("Password in Object", 4, 3), ("npm Access Token", 1, 0)]
+
+
+def test_lines_without_room_for_random_text_are_left_out_and_no_others(spark):
+    """Every value of high entropy is in a line that may hold one, and digits with a prefix are told without counting characters."""
+    dice = random.Random(7)
+    some = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+/=:%-"
+    values = ["".join(dice.choices(some[: dice.randrange(20, 70)], k=dice.randrange(26, 60))) for _ in range(400)]
+    values += ["".join(dice.sample("0123456789abcdef" + "".join(dice.sample(some[6:52] + some[62:], k)), 16 + k)) + "0123" for k in range(9, 15) for _ in range(40)]
+    lines = [dice.choice([f'x = "{v}"', f"k:{v}", f"'{v}',", f"a b {v}", f"é🙂 `{v}`", f"k = {v}\u0085"]) for v in values]
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    of_text = f"exists({detect.quoted(30)}, m -> {bound('m.value', 'value', entropy('value'))} >= {{}})"
+    for threshold in (3.0, 4.2, 4.8):
+        rows = df.selectExpr(f"{of_text.format(threshold)} AS random", f"{detect.may_be_random(threshold, 30)} AS hot").collect()
+        assert all(r.hot for r in rows if r.random) and sum(r.random for r in rows) > 20
+    told = detect.may_be_random(4.8, 30).split(" AND ")[1]
+    digits = "0123456789abcdef" * 3
+    plain = spark.createDataFrame([(t,) for t in (f'payload = "gh' + f'p_{digits[:36]}"', f'sha256: "{digits}"', f"api_key => `{digits[:32]}`")], "text string")
+    assert plain.where(told).count() == 0
